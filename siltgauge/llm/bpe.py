@@ -155,6 +155,33 @@ class Transducer:
         for t in reversed(out):
             yield self.ids[t]
 
+    def short(self, symbols: list[int]) -> list[int]:
+        """As stream(), for a word no longer than the lookahead, all of which is live."""
+        ends, memo, last, starts = self.ends, self.fits_memo, [], []
+        for i in range(len(symbols)):
+            node, j = ends, i
+            while True:
+                node = node.get(symbols[j])
+                if node is None:
+                    raise ValueError("a prefix without encoding")
+                t = node.get(-1)
+                if t is not None:
+                    if j == 0:
+                        break
+                    ok = memo.get((last[j - 1], t))
+                    if ok if ok is not None else self.fits(last[j - 1], t):
+                        break
+                j -= 1
+                if j < 0:
+                    raise ValueError("a prefix without encoding")
+            last.append(t)
+            starts.append(j)
+        out, i = [], len(symbols)
+        while i > 0:
+            out.append(self.ids[last[i - 1]])
+            i = starts[i - 1]
+        return out[::-1]
+
     def _common(self, live: deque) -> tuple:
         """The deepest node that all live prefixes share."""
         nodes = {id(x): x for x in live if x is not None}
@@ -220,6 +247,7 @@ class Codec:
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
         self.most_chunks = most_chunks
         self.done: dict[str, tuple[bytes, bytes]] = {}
+        self.done_words: dict[str, list[int]] = {}
 
     #: White space of the vocabulary's pattern that str.split() would see otherwise.
     ODD = re.compile("[\x1c-\x1f]")
@@ -231,7 +259,25 @@ class Codec:
             yield self.mid[b]
         yield self.end[data[-1]]
 
+    def word_ids(self, word: str) -> list[int]:
+        if len(word) > 8 * self.transducer.lookahead:
+            return list(self.transducer.stream(self.symbols(word)))
+        data = word.encode("utf-8", "surrogatepass")
+        if len(data) > self.transducer.lookahead:
+            return list(self.transducer.stream(self.symbols(word)))
+        mid = self.mid
+        symbols = [mid[b] for b in data]
+        symbols[-1] = self.end[data[-1]]
+        ids = self.transducer.short(symbols)
+        if len(self.done_words) >= self.most_chunks:
+            self.done_words.clear()
+        self.done_words[word] = ids
+        return ids
+
     def chunk_ids(self, chunk: str) -> list[int]:
+        if chunk.isascii() and chunk.isalpha():
+            low = chunk.lower()
+            return self.done_words.get(low) or self.word_ids(low)
         out: list[int] = []
         for piece in self.cut_special.split(chunk) if self.cut_special else [chunk]:
             if piece in self.special:
@@ -240,7 +286,7 @@ class Codec:
                 plain = unicodedata.normalize("NFC", piece)
                 plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
                 for w in self.words.findall(plain):
-                    out.extend(self.transducer.stream(self.symbols(w)))
+                    out.extend(self.done_words.get(w) or self.word_ids(w))
         return out
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
