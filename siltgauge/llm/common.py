@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_FOLDERS: dict[str, tuple[SparkSession, str]] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """This process's own folder below the one that ``spark.checkpoint.dir`` names."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:  # only where the setting is unset, as in local tests
+            base = tempfile.mkdtemp(prefix="shared-")
+        _FOLDERS[app] = (spark, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}")
+    return _FOLDERS[app][1]
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, folder in _FOLDERS.values():
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended and the folder stays
+            pass
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster names.
+    """Cut lineage with a table written in the shared folder; it outlives any executor.
 
-    ``spark.checkpoint.dir`` is read from the session; a temporary folder is set only where
-    neither it nor the context names one, as in local tests.
+    The folder is removed when the process ends, as results read from it until then.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def column_or_null(df: DataFrame, name: str, kind: str):
@@ -52,7 +75,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Alternates large-star and small-star steps until nothing changes, so rounds grow with the
     logarithm of the diameter, and each round costs a few shuffles of the edge list. Sums are
     taken before shuffles and the joins are plain equi-joins, whose hot keys AQE splits. Each
-    round ends in a reliable checkpoint.
+    round ends in a durable table.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = durable(e)
