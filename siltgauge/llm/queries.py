@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, mixing, simhash, suffix, toxicity, vectors
+from . import bpe, html, langid, mixing, quality, simhash, suffix, toxicity, vectors
 from .common import read
 
 
@@ -26,6 +26,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_frame(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -61,6 +66,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op4_cover_tree": op4_cover_tree,
     "op5_html_extract": op5_html_extract,
     "op6_suffix_dedup": op6_suffix_dedup,
