@@ -357,6 +357,8 @@ def codec(path: str) -> Codec:
 def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, and token_ids if asked for.
 
+    token_ids holds the ids as little-endian unsigned 32-bit integers.
+
     Defined cases: a null text counts as empty, an empty text has no tokens and the digests of
     nothing; repeated rows give repeated results; columns of these names are replaced.
     """
@@ -370,7 +372,7 @@ def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool
             ids.append(hashlib.sha256(a).hexdigest())
             plain.append(hashlib.sha256(b).hexdigest())
             if with_ids:
-                every.append(list(struct.unpack(f"<{len(a) // 4}I", a)))
+                every.append(a)
         return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": plain} | ({"token_ids": every} if with_ids else {})
 
-    return widen(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<long>" if with_ids else ""))
+    return widen(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else ""))

@@ -72,3 +72,23 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     rest = F.when(whole, F.col("budget") - epochs * F.col("source_size")).otherwise(F.lit(0))
     part = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
     return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "before", "key")
+
+
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", n_chars: str = "n_chars", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each copy that is taken.
+
+    The last copy of a source's budget has only the words that the budget still holds; n_chars,
+    where docs has it, follows the text. Documents of which nothing is taken go.
+    """
+    plan = mix(docs, text, source, doc_id, weights, most, seed)
+    plan = plan.groupBy("doc_id", "key").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size")).where("__taken > 0")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("key").alias("__plan"), "__taken", "__size")
+    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), column_or_null(docs, doc_id, "long"), column_or_null(docs, text, "string")))
+    nth = F.row_number().over(Window.partitionBy("__key", f"`{doc_id}`").orderBy("__key"))
+    rows = keyed.join(plan, (F.col("__key") == F.col("__plan")) & column_or_null(docs, doc_id, "long").eqNullSafe(F.col("__id"))).withColumn("__nth", nth).where("__nth = 1")
+    rows = rows.withColumn("__words", F.explode(F.expr("transform(sequence(1L, (__taken + __size - 1) div __size), i -> least(__size, __taken - (i - 1) * __size))")))
+    body = F.col(f"`{text}`")
+    cut = F.concat_ws("", F.slice(F.regexp_extract_all(body, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)), F.lit(1), F.col("__words").cast("int")))
+    rows = rows.withColumn("__text", F.when(F.col("__words") < F.col("__size"), cut).otherwise(body))
+    pick = {text: F.col("__text"), n_chars: F.length("__text").cast("long")}
+    return rows.select(*[pick[c].alias(c) if c in pick else F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_or_null, components, durable
@@ -164,15 +164,16 @@ def link_buckets(key: np.ndarray, fp: np.ndarray, most: int) -> list[np.ndarray]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, t, fp): t is a hash of the text and fp the fingerprint, both as signed longs."""
     slim = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, text, "string").alias("text"))
+    slim = slim.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, words) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "t": pdf["t"], "fp": fp.view(np.int64)})
 
-    return slim.mapInPandas(run, "doc_id long, fp long")
+    return slim.mapInPandas(run, "doc_id long, t long, fp long")
 
 
 def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
@@ -224,6 +225,14 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "a long, b long")
 
 
+def _groups(fps: DataFrame, most: int) -> DataFrame:
+    """(fp, low, component) of every different fingerprint; low is its smallest doc_id."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    comp = components(near_links(distinct, most))
+    named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+    return named.select("fp", "low", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, most: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id).
 
@@ -232,10 +241,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     doc_id never names a component unless all its members are null.
     """
     fps = durable(fingerprints(docs, text, doc_id, words))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comp = components(near_links(distinct, most))
-    named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    named = _groups(fps, most)
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     table = named.join(least, "component").select("fp", "component_id")
     return fps.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, most: int = 4) -> DataFrame:
+    """The rows of docs that stay: of each group of near duplicates the one with the smallest doc_id.
+
+    Null ids come last, rows that share an id are told apart by their text, and of equal rows
+    one stays. Columns are as in docs.
+    """
+    fps = durable(fingerprints(docs, text, doc_id, words))
+    rows = fps.join(_groups(fps, most).select("fp", "component"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), "t")).alias("who")
+    stay = rows.groupBy("component").agg(first).select(F.col("who.i").alias("__i"), F.col("who.t").alias("__t"), F.col("who.none").alias("__none"))
+    keyed = docs.withColumns({"__i": F.coalesce(column_or_null(docs, doc_id, "long"), F.lit(0)), "__t": F.xxhash64(column_or_null(docs, text, "string")), "__none": column_or_null(docs, doc_id, "long").isNull()})
+    kept = keyed.join(stay, ["__i", "__t", "__none"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__i", "__t", "__none").orderBy("__i"))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

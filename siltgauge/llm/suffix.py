@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column_or_null, durable
 
@@ -248,14 +249,14 @@ def _index_blocks(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """(keyed, spans): keyed has d, t, text for every row of docs (columns doc_id, text);
+    """(keyed, spans): keyed has d, t, text for every row of docs (columns doc_id, text and any others);
     spans has one row per (d, t) with removed bytes: an array of (b, e).
 
     t is a hash of the text, so that rows that share a doc_id are told apart by their text and
     equal rows, which are each other's copies, share their spans. d is never null.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("d"), F.xxhash64("doc_id", text).alias("t"), text.alias("text"), F.col("doc_id").isNull().alias("none"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("d"), F.xxhash64("doc_id", text).alias("t"), text.alias("text"), F.col("doc_id").isNull().alias("none"), *[c for c in docs.columns if c not in ("doc_id", "text")])
     rows = durable(_anchors(keyed, length))
     one = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "t", "at")).alias("who"))
     many = one.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -302,14 +303,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST
     return keyed, spans.groupBy("d", "t").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 200, with_text: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 200, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept if asked for.
 
-    kept is the remaining bytes as text; where a removed span cut a character, its bytes are
+    Columns named in carry come along under their names. kept is the remaining bytes as text; where a removed span cut a character, its bytes are
     dropped from kept, never from the digest. Defined cases: a null text counts as empty; texts
     shorter than ``length`` bytes stay whole; a repeated row is a copy of its other and both go.
     """
-    slim = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, text, "string").alias("text"))
+    more = {f"__carried{k}": c for k, c in enumerate(carry)}
+    slim = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, text, "string").alias("text"), *[F.col(f"`{c}`").alias(a) for a, c in more.items()])
     keyed, spans = repeated_spans(slim, length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,7 +328,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
                 row = (None if none else d, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
             frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
-            yield frame.assign(doc_id=pd.array([r[0] for r in out], "Int64"))
+            yield frame.assign(doc_id=pd.array([r[0] for r in out], "Int64"), **{a: pdf[a].array for a in more})
 
-    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return keyed.join(spans, ["d", "t"], "left").mapInPandas(run, shape)
+    shape = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    shape = T.StructType(shape.fields + [T.StructField(a, docs.schema[c].dataType) for a, c in more.items()])
+    return keyed.join(spans, ["d", "t"], "left").mapInPandas(run, shape).withColumnsRenamed(more)
