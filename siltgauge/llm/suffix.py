@@ -6,7 +6,7 @@ bytes has an anchor, the leftmost of its 32-byte grams whose hash is smallest, a
 have equal anchors in the same place. The windows that share one occurrence of an anchor are a
 context, one stretch of text. Anchors are about 1 % of the bytes.
 
-* A context that occurs twice (same anchor, same place in it, same bytes by 64-bit hash beside
+* A context that occurs twice, in one text or in two (same anchor, same place in it, same bytes by 64-bit hash beside
   the anchor's own) is repeated as a whole.
 * A context whose anchor occurs nowhere else has no repeated window.
 * What is left lies at the borders of long matches. Its contexts are brought together by anchor
@@ -39,6 +39,7 @@ GRAM = 32
 CHUNK = 1 << 20  # window starts that are hashed at a time
 PLACE = np.uint64((1 << 21) - 1)
 BLOCK_BYTES = 1 << 20
+NO_ID = -(2**63) + 1  # stands for a null doc_id
 MOST_CONTEXTS = 4096
 
 
@@ -201,21 +202,40 @@ def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchors(keyed: DataFrame, length: int) -> DataFrame:
+    """A row for each different context of a text: h, c, d, t, at (first start and windows), times.
+
+    Contexts that a text repeats come once with their number; where they lie comes as rows with
+    times 0, whose at and c are the begin and end of a span.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("h", "c", "d", "t", "at", "times")
         for pdf in batches:
             held, rows = [], 0
             for d, t, x in zip(pdf["d"], pdf["t"], pdf["text"]):
-                for h, c, first, n in contexts(x.encode("utf-8", "replace"), length):
-                    held.append((h.view(np.int64), c.view(np.int64), np.full(len(h), d), np.full(len(h), t), first << 21 | n))
-                    rows += len(h)
+                parts = list(contexts(x.encode("utf-8", "replace"), length))
+                if not parts:
+                    continue
+                h, c, first, n = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts))
+                some, index, which, times = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
+                if len(some) < len(c):
+                    again = times[which] > 1
+                    gone = merge(list(zip(first[again].tolist(), (first + n + length - 1)[again].tolist())))
+                    begin, end = np.array(gone, np.int64).T
+                    held.append((np.zeros(len(gone), np.int64), end, np.full(len(gone), d), np.full(len(gone), t), begin, np.zeros(len(gone), np.int64)))
+                    h, c, first, n = h[index], some, first[index], n[index]
+                else:
+                    times = np.ones(len(c), np.int64)
+                held.append((h.view(np.int64), c.view(np.int64), np.full(len(h), d), np.full(len(h), t), first << 21 | n, times))
+                rows += len(h)
                 if rows > 100_000:
-                    yield pd.DataFrame(dict(zip(("h", "c", "d", "t", "at"), map(np.concatenate, zip(*held)))))
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
                     held, rows = [], 0
             if held:
-                yield pd.DataFrame(dict(zip(("h", "c", "d", "t", "at"), map(np.concatenate, zip(*held)))))
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
 
     # texts with fewer bytes have no window; the JVM drops them
-    return keyed.where(F.octet_length("text") >= length).mapInPandas(run, "h long, c long, d long, t long, at long")
+    return keyed.where(F.octet_length("text") >= length).select("d", "t", "text").mapInPandas(run, "h long, c long, d long, t int, at long, times long")
 
 
 def _index_blocks(pieces: DataFrame, length: int) -> DataFrame:
@@ -245,7 +265,7 @@ def _index_blocks(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield done(held)
 
-    return pieces.repartition("h").sortWithinPartitions("h").mapInPandas(run, "d long, t long, b long, e long")
+    return pieces.repartition("h").sortWithinPartitions("h").mapInPandas(run, "d long, t int, b long, e long")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
@@ -256,15 +276,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST
     equal rows, which are each other's copies, share their spans. d is never null.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("d"), F.xxhash64("doc_id", text).alias("t"), text.alias("text"), F.col("doc_id").isNull().alias("none"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    rows = durable(_anchors(keyed, length))
-    one = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("d", "t", "at")).alias("who"))
-    many = one.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    whole = rows.join(one.where("times > 1").select("h", "c"), ["h", "c"], "left_semi")
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.hash("doc_id", text).alias("t"), text.alias("text"), *more)
+    every = durable(_anchors(keyed, length))
+    rows = every.where("times > 0")
+    one = rows.groupBy("h", "c").agg(F.sum("times").alias("times"))
+    many = one.groupBy("h").agg(F.count(F.when(F.col("times") > 0, 1)).alias("kinds")).where("kinds > 1")  # reads times, so that one shuffle serves both
+    status = one.join(many, "h", "left").where("times > 1 OR kinds IS NOT NULL")
+    tagged = durable(rows.drop("times").join(status, ["h", "c"]))
     first, n = F.shiftright("at", 21), F.col("at").bitwiseAND((1 << 21) - 1)
-    spans = whole.select("d", "t", first.alias("b"), (first + n + length - 1).alias("e"))
-    border = one.join(many, "h").select("h", F.col("who.d").alias("d"), F.col("who.t").alias("t"), F.col("who.at").alias("at"), (F.col("times") == 1).alias("single"), (F.col("kinds") > most_contexts).alias("hot"))
-    border = durable(border)
+    spans = tagged.where("times > 1").select("d", "t", first.alias("b"), (first + n + length - 1).alias("e"))
+    spans = spans.union(every.where("times = 0").select("d", "t", F.col("at").alias("b"), F.col("c").alias("e")))
+    mixed = tagged.where("kinds IS NOT NULL")
+    shown = mixed.where("times > 1").groupBy("h", "c").agg(F.min(F.struct("d", "t", "at")).alias("who"), F.max("kinds").alias("kinds"))
+    border = mixed.where("times = 1").select("h", "d", "t", "at", F.lit(True).alias("single"), "kinds")
+    border = border.union(shown.select("h", "who.d", "who.t", "who.at", F.lit(False), "kinds")).withColumn("hot", F.col("kinds") > most_contexts)
 
     def pieces_of(part: DataFrame) -> DataFrame:
         # equal rows come twice, but no context of theirs is single, and only single ones report
@@ -287,7 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST
             if out:
                 yield pd.DataFrame(out, columns=["h", "d", "t", "first", "data", "single"])
 
-    shape = "h long, d long, t long, first long, data binary, single boolean"
+    shape = "h long, d long, t int, first long, data binary, single boolean"
     spans = spans.union(_index_blocks(pieces_of(border.where("not hot")).mapInPandas(cut, shape), length))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,8 +322,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST
                 a, b = window_hashes(data, length)
                 yield pd.DataFrame({"h": h, "d": d, "t": t, "b": f + np.arange(len(a)), "w": a, "v": b, "single": single})
 
-    if border.where("hot").limit(1).count():
-        windows = durable(pieces_of(border.where("hot")).mapInPandas(count, "h long, d long, t long, b long, w long, v long, single boolean"))
+    if tagged.where(F.col("kinds") > most_contexts).limit(1).count():
+        windows = durable(pieces_of(border.where("hot")).mapInPandas(count, "h long, d long, t int, b long, w long, v long, single boolean"))
         twice = windows.groupBy("h", "w", "v").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
         spans = spans.union(windows.where("single").join(twice, ["h", "w", "v"], "left_semi").select("d", "t", "b", (F.col("b") + length).alias("e")))
     return keyed, spans.groupBy("d", "t").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
@@ -317,7 +343,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for d, none, x, found in zip(pdf["d"], pdf["none"], pdf["text"], pdf["spans"]):
+            for d, x, found in zip(pdf["d"], pdf["text"], pdf["spans"]):
                 data = x.encode("utf-8", "replace")
                 gone = merge([(s["b"], s["e"]) for s in found]) if found is not None else []
                 parts, at = [], 0
@@ -325,7 +351,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
                     parts.append(data[at:b])
                     at = e
                 kept = b"".join([*parts, data[at:]])
-                row = (None if none else d, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+                row = (None if d == NO_ID else d, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
             frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
             yield frame.assign(doc_id=pd.array([r[0] for r in out], "Int64"), **{a: pdf[a].array for a in more})
