@@ -21,6 +21,11 @@ from .common import column_or_null, durable
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def random_key(doc_id, text, seed: int):
+    """60 random bits of a row, by a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), doc_id.cast("string"), text)), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(stats: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """(source, source_size, n_docs, target) from per-source sums; a source has one row.
 
@@ -52,15 +57,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     the documents of one key range, so ranges grow in number, not in length.
     """
     size = F.coalesce(F.regexp_count(column_or_null(docs, text, "string"), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, source, "string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), column_or_null(docs, doc_id, "long"), column_or_null(docs, text, "string")).alias("key"))
+    slim = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, source, "string").alias("source"), size.alias("size"), random_key(column_or_null(docs, doc_id, "long"), column_or_null(docs, text, "string"), seed).alias("key"))
     slim = durable(slim)
     stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     plan = source_targets(stats, weights, most)
     plan = plan.withColumn("ranges", F.ceil(F.col("n_docs") / range_rows).cast("long")).withColumn("budget", F.round("target").cast("long"))
     plan = plan.select(F.col("source").alias("p_source"), "source_size", "target", "ranges", "budget")
     dealt = slim.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    # the key's upper 32 bits, taken as a fraction, choose the range
-    dealt = dealt.withColumn("range", F.floor((F.shiftright("key", 32) + F.lit(2.0**31)) / F.lit(2.0**32) * F.col("ranges")).cast("long"))
+    # the key's upper bits, taken as a fraction, choose the range
+    dealt = dealt.withColumn("range", F.floor(F.shiftright("key", 28) / F.lit(2.0**32) * F.col("ranges")).cast("long"))
     sums = dealt.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("start"))
@@ -83,7 +88,7 @@ def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", doc_
     plan = mix(docs, text, source, doc_id, weights, most, seed)
     plan = plan.groupBy("doc_id", "key").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size")).where("__taken > 0")
     plan = plan.select(F.col("doc_id").alias("__id"), F.col("key").alias("__plan"), "__taken", "__size")
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), column_or_null(docs, doc_id, "long"), column_or_null(docs, text, "string")))
+    keyed = docs.withColumn("__key", random_key(column_or_null(docs, doc_id, "long"), column_or_null(docs, text, "string"), seed))
     nth = F.row_number().over(Window.partitionBy("__key", f"`{doc_id}`").orderBy("__key"))
     rows = keyed.join(plan, (F.col("__key") == F.col("__plan")) & column_or_null(docs, doc_id, "long").eqNullSafe(F.col("__id"))).withColumn("__nth", nth).where("__nth = 1")
     rows = rows.withColumn("__words", F.explode(F.expr("transform(sequence(1L, (__taken + __size - 1) div __size), i -> least(__size, __taken - (i - 1) * __size))")))

@@ -77,6 +77,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS key FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT source, source_size, CAST(3 * source_size AS DOUBLE) AS cap, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+        o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+                     sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM w),
+        f AS (SELECT *, cap <= (total - used) / open_w * w AS filled FROM o),
+        t AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE (total - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ()) * w / sum(CASE WHEN filled THEN 0 ELSE w END) OVER () END AS target FROM f),
+        b AS (SELECT *, CAST(round(target) AS BIGINT) AS budget FROM t),
+        r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.budget, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+              FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+        SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken FROM r
+    """,
+    "op4_cover_tree": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+        low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, coalesce(low.component_id, e.vec_id) AS component_id, e.vec_id = coalesce(low.component_id, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
+    """,
+    "op6_suffix_dedup": """
+        WITH h AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        c AS (SELECT r, unnest(range(0, greatest(len(x) // 2 - 199, 0), 4096)) AS pos, x FROM h),
+        c2 AS (SELECT r, pos, substr(x, 2 * pos + 1, 2 * (4096 + 199)) AS part FROM c),
+        w AS (SELECT r, pos + k AS b, hash(substr(part, 2 * k + 1, 400)) AS g, md5(substr(part, 2 * k + 1, 400)) AS m FROM (SELECT r, pos, part, unnest(range(0, len(part) // 2 - 199)) AS k FROM c2)),
+        twice AS (SELECT g, m FROM w GROUP BY g, m HAVING count(*) > 1),
+        hit AS (SELECT w.r, w.b FROM w SEMI JOIN twice ON w.g = twice.g AND w.m = twice.m),
+        island AS (SELECT r, b, sum(fresh) OVER (PARTITION BY r ORDER BY b) AS i FROM (SELECT r, b, CASE WHEN b <= lag(b) OVER (PARTITION BY r ORDER BY b) + 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+        span AS (SELECT r, i, min(b) AS b, max(b) + 200 AS e FROM island GROUP BY r, i),
+        gap AS (SELECT r, b AS until, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS since, e FROM span),
+        sums AS (SELECT r, count(*) AS n_spans, sum(e - until) AS n_removed, max(e) AS tail FROM gap GROUP BY r),
+        kept AS (SELECT gap.r, string_agg(substr(x, 2 * since + 1, 2 * (until - since)), '' ORDER BY until) AS x FROM gap JOIN h USING (r) GROUP BY gap.r)
+        SELECT h.doc_id, CAST(len(h.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(CASE WHEN sums.r IS NULL THEN h.x ELSE coalesce(kept.x, '') || substr(h.x, 2 * tail + 1) END)) AS kept_sha256
+        FROM h LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+    """,
     "op10_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
