@@ -139,6 +139,8 @@ def spanning(hit: np.ndarray) -> Iterator[tuple[int, int]]:
             for c, r in zip(cols.tolist(), rows[reach[:, reach.any(0)].argmax(0)].tolist()):
                 yield r, c
             cols_left[cols] = False
+            if not len(cols):  # these rows' columns were reached before
+                break
             more = hit[:, cols] & rows_left[:, None]
             new = np.nonzero(more.any(1))[0]
             for r, c in zip(new.tolist(), cols[more[new].argmax(1)].tolist()):
