@@ -2,9 +2,9 @@
 
 A byte goes if a 200-byte string that covers it also starts anywhere else. No machine can hold
 one index of a whole corpus, so the strings are dealt out by content first: every window of 200
-bytes has an anchor, the leftmost of its 32-byte grams whose hash is smallest, and equal windows
+bytes has an anchor, the leftmost of its 64-byte grams whose hash is smallest, and equal windows
 have equal anchors in the same place. The windows that share one occurrence of an anchor are a
-context, one stretch of text. Anchors are about 1 % of the bytes.
+context, one stretch of text. Anchors are about 1.5 % of the bytes.
 
 * A context that occurs twice, in one text or in two (same anchor, same place in it, same bytes by 64-bit hash beside
   the anchor's own) is repeated as a whole.
@@ -14,8 +14,9 @@ context, one stretch of text. Anchors are about 1 % of the bytes.
   transform is cut into runs, longest common prefixes are compared at run heads only, and
   matching lengths are streamed through the text from those samples, as each step inside a run
   loses one byte. Starts whose match reaches 200 bytes are marked.
-* An anchor with too many different contexts for a block has its windows counted by 128-bit
-  hash in a distributed aggregation.
+* An anchor with too many different contexts for a block has them dealt out again by longer
+  anchors, and windows that even the longest leaves together are counted by 128-bit hash in a
+  distributed aggregation.
 
 Identical contexts are counted before they are shuffled, so that thousands of copies arrive as
 one row from each task.
@@ -35,12 +36,14 @@ from pyspark.sql import types as T
 
 from .common import column_or_null, durable
 
-GRAM = 32
-CHUNK = 1 << 20  # window starts that are hashed at a time
+GRAM = 64
+REFINE = (128, 176)  # longer anchors for what a common one brings together
+CHUNK = 1 << 18  # bytes that are hashed at a time
 PLACE = np.uint64((1 << 21) - 1)
 BLOCK_BYTES = 1 << 20
 NO_ID = -(2**63) + 1  # stands for a null doc_id
-MOST_CONTEXTS = 4096
+MOST_CONTEXTS = 512
+PIECE = "h long, d long, t int, first long, data binary, single boolean, hot boolean"
 
 
 @lru_cache(4)
@@ -69,34 +72,74 @@ def _sums(b: np.ndarray, lane: int) -> np.ndarray:
     return out
 
 
-def contexts(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash, context hash, first window start, number of windows), chunk by chunk.
-
-    A context has ``windows + length - 1`` bytes.
-    """
-    gram = min(GRAM, length)
+def _runs(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the anchor, its hash, first window, number of windows) of each context of a stretch, and sums for hashes."""
     wide = length - gram + 1
-    for at in range(0, max(0, len(data) - length + 1), CHUNK):
-        b = np.frombuffer(data, np.uint8, min(CHUNK + length - 1, len(data) - at), at)
-        s0, s1 = _sums(b, 0), _sums(b, 1)
-        down0, down1 = _tables(0)[2], _tables(1)[2]
-        grams = len(b) - gram + 1
-        h = _mix((s0[gram:] - s0[:grams]) * down0[:grams])
-        low = (h & ~PLACE) | np.arange(grams, dtype=np.uint64)
-        span = 1
-        while 2 * span <= wide:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if wide > span:
-            low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
-        place = (low & PLACE).astype(np.int64)
-        first = np.nonzero(np.concatenate(([True], place[1:] != place[:-1])))[0]
-        n = np.diff(np.concatenate((first, [len(place)])))
-        p = place[first]
-        end = first + n + length - 1
-        c = (s1[end] - s1[first]) * down1[first]
-        c = _mix(c ^ _mix(((p - first).astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)))
-        yield h[p], c, first + at, n
+    s0 = _sums(b, 0)
+    grams = len(b) - gram + 1
+    h = _mix((s0[gram:] - s0[:grams]) * _tables(0)[2][:grams])
+    low = (h & ~PLACE) | np.arange(grams, dtype=np.uint64)
+    span = 1
+    while 2 * span <= wide:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if wide > span:
+        low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
+    place = (low & PLACE).astype(np.int64)
+    first = np.nonzero(np.concatenate(([True], place[1:] != place[:-1])))[0]
+    n = np.diff(np.concatenate((first, [len(place)])))
+    p = place[first]
+    return p, h[p], first, n, _sums(b, 1)
+
+
+def _digest(s1: np.ndarray, p: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    end = first + n + length - 1
+    c = (s1[end] - s1[first]) * _tables(1)[2][first]
+    return _mix(c ^ _mix(((p - first).astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)))
+
+
+def contexts(parts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, anchor hash, context hash, first window start, number of windows) of all parts.
+
+    A context has ``windows + length - 1`` bytes. Short parts are hashed side by side, and what
+    windows over a border would add is cut off; long ones go chunk by chunk.
+    """
+    gram = min(gram, length)
+    out: list[tuple] = []
+    group: list[int] = []
+    size = 0
+
+    def done() -> None:
+        sizes = np.array([len(parts[k]) for k in group], np.int64)
+        ends = np.cumsum(sizes)
+        p, h, first, n, s1 = _runs(np.frombuffer(b"".join([parts[k] for k in group]), np.uint8), length, gram)
+        which = np.searchsorted(ends, p, "right")
+        begin = ends[which] - sizes[which]
+        head = np.maximum(first, begin)
+        n = np.minimum(first + n, ends[which] - length + 1) - head
+        ok = n > 0
+        p, h, first, n, which = p[ok], h[ok], head[ok], n[ok], which[ok]
+        out.append((np.array(group)[which], h, _digest(s1, p, first, n, length), first - begin[ok], n))
+
+    for k, data in enumerate(parts):
+        if len(data) < length:
+            continue
+        if len(data) > CHUNK:
+            for at in range(0, len(data) - length + 1, CHUNK):
+                p, h, first, n, s1 = _runs(np.frombuffer(data, np.uint8, min(CHUNK + length - 1, len(data) - at), at), length, gram)
+                out.append((np.full(len(p), k), h, _digest(s1, p, first, n, length), first + at, n))
+            continue
+        if size + len(data) > CHUNK:
+            done()
+            group, size = [], 0
+        group.append(k)
+        size += len(data)
+    if group:
+        done()
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def window_hashes(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,30 +252,26 @@ def _anchors(keyed: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("h", "c", "d", "t", "at", "times")
         for pdf in batches:
-            held, rows = [], 0
-            for d, t, x in zip(pdf["d"], pdf["t"], pdf["text"]):
-                parts = list(contexts(x.encode("utf-8", "replace"), length))
-                if not parts:
-                    continue
-                h, c, first, n = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts))
-                some, index, which, times = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
-                if len(some) < len(c):
-                    again = times[which] > 1
-                    gone = merge(list(zip(first[again].tolist(), (first + n + length - 1)[again].tolist())))
-                    begin, end = np.array(gone, np.int64).T
-                    held.append((np.zeros(len(gone), np.int64), end, np.full(len(gone), d), np.full(len(gone), t), begin, np.zeros(len(gone), np.int64)))
-                    h, c, first, n = h[index], some, first[index], n[index]
-                else:
-                    times = np.ones(len(c), np.int64)
-                held.append((h.view(np.int64), c.view(np.int64), np.full(len(h), d), np.full(len(h), t), first << 21 | n, times))
-                rows += len(h)
-                if rows > 100_000:
-                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
-                    held, rows = [], 0
-            if held:
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                d, t = part["d"].to_numpy(np.int64), part["t"].to_numpy(np.int32)
+                which, h, c, first, n = contexts([x.encode("utf-8", "replace") for x in part["text"]], length)
+                order = np.lexsort((first, c, which))
+                which, h, c, first, n = which[order], h[order], c[order], first[order], n[order]
+                fresh = np.ones(len(c), bool)
+                fresh[1:] = (which[1:] != which[:-1]) | (c[1:] != c[:-1])
+                begin = np.nonzero(fresh)[0]
+                times = np.diff(np.concatenate((begin, [len(c)])))
+                w = which[begin]
+                yield pd.DataFrame({"h": h[begin].view(np.int64), "c": c[begin].view(np.int64), "d": d[w], "t": t[w], "at": first[begin] << 21 | n[begin], "times": times})
+                again = np.repeat(times > 1, times)
+                if again.any():
+                    rows = []
+                    w, b, e = which[again], first[again], (first + n + length - 1)[again]
+                    for k in np.unique(w).tolist():
+                        rows += [(0, e_, d[k], t[k], b_, 0) for b_, e_ in merge(list(zip(b[w == k].tolist(), e[w == k].tolist())))]
+                    yield pd.DataFrame(rows, columns=["h", "c", "d", "t", "at", "times"])
 
     # texts with fewer bytes have no window; the JVM drops them
     return keyed.where(F.octet_length("text") >= length).select("d", "t", "text").mapInPandas(run, "h long, c long, d long, t int, at long, times long")
@@ -280,24 +319,23 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.hash("doc_id", text).alias("t"), text.alias("text"), *more)
     every = durable(_anchors(keyed, length))
     rows = every.where("times > 0")
-    one = rows.groupBy("h", "c").agg(F.sum("times").alias("times"))
-    many = one.groupBy("h").agg(F.count(F.when(F.col("times") > 0, 1)).alias("kinds")).where("kinds > 1")  # reads times, so that one shuffle serves both
-    status = one.join(many, "h", "left").where("times > 1 OR kinds IS NOT NULL")
-    tagged = durable(rows.drop("times").join(status, ["h", "c"]))
+    # most anchors occur once in the corpus; they go before anything else is counted
+    shared = rows.groupBy("h").agg(F.sum("times").alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("all > 1").select("h", (F.col("c0") < F.col("c1")).alias("mixed"))
+    some = durable(rows.join(shared, "h"))
+    mixed = some.where("mixed")
+    one = mixed.groupBy("h", "c").agg(F.sum("times").alias("times"))
+    many = one.groupBy("h").agg(F.count(F.when(F.col("times") > 0, 1)).alias("kinds"))  # reads times, so that one shuffle serves both
+    tagged = durable(mixed.drop("times", "mixed").join(one.join(many, "h"), ["h", "c"]))
     first, n = F.shiftright("at", 21), F.col("at").bitwiseAND((1 << 21) - 1)
-    spans = tagged.where("times > 1").select("d", "t", first.alias("b"), (first + n + length - 1).alias("e"))
+    whole = lambda f: f.select("d", "t", first.alias("b"), (first + n + length - 1).alias("e"))
+    spans = whole(some.where("not mixed")).union(whole(tagged.where("times > 1")))
     spans = spans.union(every.where("times = 0").select("d", "t", F.col("at").alias("b"), F.col("c").alias("e")))
-    mixed = tagged.where("kinds IS NOT NULL")
-    shown = mixed.where("times > 1").groupBy("h", "c").agg(F.min(F.struct("d", "t", "at")).alias("who"), F.max("kinds").alias("kinds"))
-    border = mixed.where("times = 1").select("h", "d", "t", "at", F.lit(True).alias("single"), "kinds")
+    shown = tagged.where("times > 1").groupBy("h", "c").agg(F.min(F.struct("d", "t", "at")).alias("who"), F.max("kinds").alias("kinds"))
+    border = tagged.where("times = 1").select("h", "d", "t", "at", F.lit(True).alias("single"), "kinds")
     border = border.union(shown.select("h", "who.d", "who.t", "who.at", F.lit(False), "kinds")).withColumn("hot", F.col("kinds") > most_contexts)
 
-    def pieces_of(part: DataFrame) -> DataFrame:
-        # equal rows come twice, but no context of theirs is single, and only single ones report
-        lists = part.groupBy("d", "t").agg(F.collect_list(F.struct("h", "at", "single")).alias("cuts"))
-        return keyed.join(lists, ["d", "t"])
-
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["h", "d", "t", "first", "data", "single", "hot"]
         for pdf in batches:
             out: list[tuple] = []
             size = 0
@@ -305,28 +343,74 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST
                 data = x.encode("utf-8", "replace")
                 for c in cuts:
                     f, k = c["at"] >> 21, c["at"] & (1 << 21) - 1
-                    out.append((c["h"], d, t, f, data[f : f + k + length - 1], c["single"]))
+                    out.append((c["h"], d, t, f, data[f : f + k + length - 1], c["single"], c["hot"]))
                     size += k + length
                 if size > 8_000_000:
-                    yield pd.DataFrame(out, columns=["h", "d", "t", "first", "data", "single"])
+                    yield pd.DataFrame(out, columns=names)
                     out, size = [], 0
             if out:
-                yield pd.DataFrame(out, columns=["h", "d", "t", "first", "data", "single"])
+                yield pd.DataFrame(out, columns=names)
+
+    # equal rows come twice, but no context of theirs is single, and only single ones report
+    lists = border.groupBy("d", "t").agg(F.collect_list(F.struct("h", "at", "single", "hot")).alias("cuts"))
+    pieces = keyed.select("d", "t", "text").join(lists, ["d", "t"]).mapInPandas(cut, PIECE)
+    hot = tagged.where(F.col("kinds") > most_contexts).limit(1).count()
+    if hot:
+        pieces = durable(pieces)
+    spans = spans.union(_index_blocks(pieces.where("not hot") if hot else pieces, length))
+    hot_pieces = pieces.where("hot") if hot else None
+    for gram in REFINE:
+        if hot_pieces is None:
+            break
+        more, hot_pieces = _refine(hot_pieces, length, min(gram, length), most_contexts)
+        spans = spans.union(more)
+    if hot_pieces is not None:
+        spans = spans.union(_count_windows(hot_pieces, length))
+    return keyed, spans.groupBy("d", "t").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+
 
-    shape = "h long, d long, t int, first long, data binary, single boolean"
-    spans = spans.union(_index_blocks(pieces_of(border.where("not hot")).mapInPandas(cut, shape), length))
+def _refine(pieces: DataFrame, length: int, gram: int, most_contexts: int) -> tuple[DataFrame, DataFrame | None]:
+    """Spans of pieces that are dealt out again by a longer anchor, and the pieces whose new anchor is still too common."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            which, h, c, first, n = contexts(list(pdf["data"]), length, gram)
+            own = pdf.iloc[which]
+            data = [x[f : f + k + length - 1] for x, f, k in zip(own["data"], first.tolist(), n.tolist())]
+            yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "d": own["d"].to_numpy(), "t": own["t"].to_numpy(), "first": own["first"].to_numpy() + first, "data": data, "single": own["single"].to_numpy()})
+
+    parts = durable(pieces.mapInPandas(split, PIECE.replace("h long,", "h long, c long,").replace(", hot boolean", "")))
+    one = parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"))
+    many = one.groupBy("h").agg(F.count(F.when(F.col("times") > 0, 1)).alias("kinds"))
+    status = one.join(many, "h").where("times > 1 OR kinds > 1")
+    tagged = durable(parts.join(status, ["h", "c"]))
+    spans = tagged.where("times > 1 AND single").select("d", "t", F.col("first").alias("b"), (F.col("first") + F.octet_length("data")).alias("e"))
+    lone = tagged.where("kinds > 1 AND times = 1").select("h", "d", "t", "first", "data", "single", "kinds")
+    shown = tagged.where("kinds > 1 AND times > 1").groupBy("h", "c").agg(F.min(F.struct("d", "t", "first", "data")).alias("who"), F.max("kinds").alias("kinds"))
+    border = lone.union(shown.select("h", "who.d", "who.t", "who.first", "who.data", F.lit(False), "kinds")).withColumn("hot", F.col("kinds") > most_contexts).drop("kinds")
+    spans = spans.union(_index_blocks(border.where("not hot"), length))
+    return spans, border.where("hot") if tagged.where(F.col("kinds") > most_contexts).limit(1).count() else None
+
+
+def _count_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """Spans of single pieces whose windows occur twice, by the windows' own hashes."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in cut(batches):
-            for h, d, t, f, data, single in pdf.itertuples(index=False):
+        for pdf in batches:
+            out, size = [], 0
+            for d, t, f, data, single in zip(pdf["d"], pdf["t"], pdf["first"], pdf["data"], pdf["single"]):
                 a, b = window_hashes(data, length)
-                yield pd.DataFrame({"h": h, "d": d, "t": t, "b": f + np.arange(len(a)), "w": a, "v": b, "single": single})
+                out.append((np.full(len(a), d), np.full(len(a), t), f + np.arange(len(a)), a, b, np.full(len(a), single)))
+                size += len(a)
+                if size > 100_000:
+                    yield pd.DataFrame(dict(zip("dtbwvs", map(np.concatenate, zip(*out)))))
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(dict(zip("dtbwvs", map(np.concatenate, zip(*out)))))
 
-    if tagged.where(F.col("kinds") > most_contexts).limit(1).count():
-        windows = durable(pieces_of(border.where("hot")).mapInPandas(count, "h long, d long, t int, b long, w long, v long, single boolean"))
-        twice = windows.groupBy("h", "w", "v").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-        spans = spans.union(windows.where("single").join(twice, ["h", "w", "v"], "left_semi").select("d", "t", "b", (F.col("b") + length).alias("e")))
-    return keyed, spans.groupBy("d", "t").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    windows = durable(pieces.mapInPandas(count, "d long, t int, b long, w long, v long, s boolean"))
+    twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    return windows.where("s").join(twice, ["w", "v"], "left_semi").select("d", "t", "b", (F.col("b") + length).alias("e"))
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 200, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
