@@ -219,43 +219,50 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", emb
 # --- exact top-k ------------------------------------------------------------------------
 
 
-def search_block(queries: np.ndarray, ids_q: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, step: int = 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the k best rows for each query, ties to smaller ids; exact.
+def search_block(queries: np.ndarray, ids_q: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, step: int = 16, batch: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, ids, scores) of the k best rows for each query, ties to smaller ids; exact.
 
-    rows are kept dimension by dimension. Partial products grow by ``step`` dimensions; what the
-    rest can add is at most the product of the remaining masses, and rows that can't reach the
-    k-th best known score leave the block.
+    rows are kept dimension by dimension. Partial products of a batch of queries grow by ``step``
+    dimensions; what the rest can add is at most the product of the remaining masses, and rows
+    that can't reach any query's k-th best known score leave the block.
     """
     by_id = np.argsort(ids, kind="stable")
     ids, rows = ids[by_id], rows[by_id]
     n, d = rows.shape
     peak = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, d)
     kind = np.float64 if peak < 2.0**53 else np.int64  # doubles hold these sums exactly
+    never = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
     columns = np.ascontiguousarray(rows.T.astype(kind))
     mass = lambda m: np.sqrt(np.maximum(np.cumsum((m.astype(np.float64) ** 2)[:, ::-1], axis=1)[:, ::-1], 0))
-    rest_rows = mass(rows)
-    cuts = list(range(0, d, step)) or [0]
+    rest_rows = np.ascontiguousarray(mass(rows).T)
     # the rows with most mass are likely winners and give a first bound
-    lead = np.argsort(-rest_rows[:, 0], kind="stable")[: 4 * k] if d and n else np.arange(min(n, 4 * k))
-    for qi, q in zip(ids_q.tolist(), queries.astype(kind)):
-        first = q @ columns[:, lead]
-        first = first[ids[lead] != qi]
-        bound = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else -np.inf
-        rest = mass(q[None, :].astype(np.float64))[0] if d else np.zeros(0)
-        alive, part = np.nonzero(ids != qi)[0], np.zeros(int((ids != qi).sum()), kind)
-        for c in cuts:
+    lead = np.argsort(-rest_rows[0], kind="stable")[: 4 * k] if d and n else np.arange(min(n, 4 * k))
+    for at in range(0, len(queries), batch):
+        q, who = queries[at : at + batch].astype(kind), ids_q[at : at + batch]
+        spot = np.minimum(np.searchsorted(ids, who), n - 1)
+        own = np.nonzero(ids[spot] == who)[0]  # a query is no row of its own
+        first = np.where(ids[lead][None, :] == who[:, None], never, q @ columns[:, lead])
+        bound = np.partition(first, len(lead) - k, axis=1)[:, len(lead) - k] if len(lead) >= k else np.full(len(q), never)
+        rest, alive = mass(q), np.arange(n)
+        part = np.zeros((len(q), n), kind)
+        for c in range(0, d, step):
             e = min(c + step, d)
-            part = part + q[c:e] @ columns[c:e][:, alive]
+            part += q[:, c:e] @ (columns[c:e] if len(alive) == n else columns[c:e, alive])
             if e < d and len(alive) > k:
-                room = rest[e] * rest_rows[alive, e]
-                if len(alive) > 4 * k:  # what is certain already may raise the bound
-                    sure = part - room * (1 + 1e-9) - 1e-6
-                    bound = max(bound, np.partition(sure, len(sure) - k)[len(sure) - k])
-                keep = part + room * (1 + 1e-9) + 1e-6 >= bound
-                if not keep.all():
-                    alive, part = alive[keep], part[keep]
-        order = np.lexsort((ids[alive], -part))[:k]
-        yield qi, ids[alive][order], part[order].astype(np.int64)
+                room = np.outer(rest[:, e] * (1 + 1e-9), rest_rows[e, alive]) + 1e-6 + peak * 1e-15
+                keep = (part + room >= bound[:, None]).any(0)
+                if keep.mean() < 0.75:
+                    alive, part = alive[keep], part[:, keep]
+        m = len(alive)
+        spot = np.searchsorted(alive, spot)
+        there = own[(spot[own] < m) & (alive[np.minimum(spot[own], m - 1)] == np.searchsorted(ids, who[own]))] if m else own[:0]
+        part[there, spot[there]] = never
+        least = np.partition(part, m - k, axis=1)[:, m - k] if m > k else np.full(len(q), never)
+        i, j = np.nonzero((part >= least[:, None]) & (part > never))
+        order = np.lexsort((alive[j], -part[i, j], i))
+        i, j = i[order], j[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        yield who[i[nth < k]], ids[alive[j[nth < k]]], part[i, j][nth < k].astype(np.int64)
 
 
 def top_k(df: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 8192, group_rows: int = 4096) -> DataFrame:
@@ -286,8 +293,8 @@ def top_k(df: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", e
             if not len(rows):
                 continue
             load = lambda f: np.frombuffer(b"".join(f["vec"]), "<i8").reshape(len(f), -1) if size else np.zeros((len(f), 0), np.int64)
-            for qi, ids, scores in search_block(load(part), part["vec_id"].to_numpy(), load(rows), rows["vec_id"].to_numpy(), k):
-                out.append(pd.DataFrame({"query_id": qi, "vec_id": ids, "score": scores}))
+            for who, ids, scores in search_block(load(part), part["vec_id"].to_numpy(), load(rows), rows["vec_id"].to_numpy(), k):
+                out.append(pd.DataFrame({"query_id": who, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     best = q.groupBy("g", "s").cogroup(c.groupBy("g", "s")).applyInPandas(meet, "query_id long, vec_id long, score long")
