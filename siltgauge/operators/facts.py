@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import curly_facts, python_facts
-from ..schema import FILE_FACTS
+from ..schema import FACT_TYPES, FILE_FACTS
 
 
 class LanguagePlugin(Protocol):
@@ -27,7 +27,7 @@ EXTRACTORS: dict[str, Callable[[str, str], dict]] = {
 }
 
 _LISTS = ("imports", "imported_names", "identifiers", "module_declarations", "exports", "function_bodies")
-_COUNTS = [f.name for f in FILE_FACTS.fields if f.name.endswith(("_count", "_depth"))]
+_COUNTS = [f for f in FACT_TYPES if f.endswith(("_count", "_depth"))]
 
 
 def file_facts(files: DataFrame, plugins: tuple[LanguagePlugin, ...] = ()) -> DataFrame:
@@ -36,7 +36,7 @@ def file_facts(files: DataFrame, plugins: tuple[LanguagePlugin, ...] = ()) -> Da
     Texts are parsed in the workers, batch by batch; only facts leave them.
     """
     known = dict(EXTRACTORS) | {p.name: p.extract for p in plugins}
-    names = FILE_FACTS.fieldNames()
+    names = list(FACT_TYPES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

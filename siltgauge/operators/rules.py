@@ -102,7 +102,8 @@ CONVENTIONS = ("camel", "other", "pascal", "screaming", "snake")
 def naming_entropy(least: int = 10, share: float = 0.05, conventions: int = 3) -> Column:
     """Three conventions, "other" included, each above the share; the dominant one ties alphabetically."""
     kinds = F.transform("identifiers", S.classify_identifier)
-    count = {c: F.coalesce(F.size(F.filter(kinds, lambda k, c=c: k == c)), F.lit(0)) for c in CONVENTIONS}
+    of = lambda c: F.coalesce(F.size(F.filter(kinds, lambda k: k == c)), F.lit(0))
+    count = {c: of(c) for c in CONVENTIONS}
     n = F.coalesce(F.size("identifiers"), F.lit(0))
     mixed = sum(((count[c] > n * share).cast("int") for c in CONVENTIONS), F.lit(0))
     ranked = F.array_sort(F.array(*[F.struct((-count[c]).alias("n"), F.lit(c).alias("name")) for c in CONVENTIONS]))
@@ -167,3 +168,14 @@ def run_rules(facts: DataFrame, limits: Limits = NORMAL, columns: dict[str, Colu
     made |= columns or {}
     every = F.filter(F.array(*[c.cast(STRUCT) for c in made.values()]), lambda x: x.isNotNull())
     return facts.select(F.col(path).alias("path"), F.explode(every).alias("f")).select("path", "f.*")
+
+
+def unused_names(names: DataFrame, identifiers: DataFrame, key: str, name: str = "name", least: int = 2, medium: int = 5) -> DataFrame:
+    """(key, unused_count, severity) over tables with a row for each name, where arrays would be unbounded.
+
+    Repeated names are summed before the anti-join, so a hot key or word is one row on each side.
+    """
+    counted = names.where(F.col(name).isNotNull()).groupBy(key, name).agg(F.count(F.lit(1)).alias("n"))
+    rest = counted.join(identifiers.select(key, name).distinct(), [key, name], "left_anti")
+    sums = rest.groupBy(key).agg(F.sum("n").alias("unused_count")).where(F.col("unused_count") >= least)
+    return sums.select(key, "unused_count", S.ladder(F.col("unused_count"), (medium, "Medium"), otherwise="Low").alias("severity"))

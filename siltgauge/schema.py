@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-SOURCE_FILES = T.StructType.fromDDL("path string, rel_path string, size_bytes bigint, line_count bigint, language string, package string, metadata map<string,string>, text string")
-
-FILE_FACTS = T.StructType.fromDDL(
-    "path string, rel_path string, language string, package string, module_path string, line_count bigint, size_bytes bigint, is_entry_point boolean, is_package_init boolean, "
-    "function_count int, class_count int, impl_block_count int, imports array<string>, imported_names array<string>, identifiers array<string>, module_declarations array<string>, "
-    "all_export array<string>, exports array<struct<source:string,item_count:int,is_wildcard:boolean>>, function_bodies array<struct<name:string,raw_body:string,normalized_body:string>>, "
-    "branch_count int, max_nesting_depth int, max_type_depth int, comment_line_count int, decorator_count int, empty_catch_count int, dangerous_pattern_count int, string_comparison_count int, error string"
-)
+#: Schemas are DDL, as StructType.fromDDL needs a session and modules are imported before one.
+SOURCE_FILES = "path string, rel_path string, size_bytes bigint, line_count bigint, language string, package string, metadata map<string,string>, text string"
+
+FACT_TYPES: dict[str, str] = {
+    **dict.fromkeys(("path", "rel_path", "language", "package", "module_path"), "string"),
+    **dict.fromkeys(("line_count", "size_bytes"), "bigint"),
+    **dict.fromkeys(("is_entry_point", "is_package_init"), "boolean"),
+    **dict.fromkeys(("function_count", "class_count", "impl_block_count"), "int"),
+    **dict.fromkeys(("imports", "imported_names", "identifiers", "module_declarations", "all_export"), "array<string>"),
+    "exports": "array<struct<source:string,item_count:int,is_wildcard:boolean>>",
+    "function_bodies": "array<struct<name:string,raw_body:string,normalized_body:string>>",
+    **dict.fromkeys(("branch_count", "max_nesting_depth", "max_type_depth", "comment_line_count", "decorator_count", "empty_catch_count", "dangerous_pattern_count", "string_comparison_count"), "int"),
+    "error": "string",
+}
+FILE_FACTS = ", ".join(f"{k} {v}" for k, v in FACT_TYPES.items())
 
-FINDINGS = T.StructType.fromDDL("path string, kind string, severity string, confidence double, evidence map<string,string>, estimated_tokens bigint")
+FINDINGS = "path string, kind string, severity string, confidence double, evidence map<string,string>, estimated_tokens bigint"
 
 #: kind: (id prefix, short code, score bucket). Short codes of the five structural kinds are chosen here.
 KINDS: dict[str, tuple[str, str, str]] = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -95,7 +95,7 @@ def nesting(texts: DataFrame, key: str, text: str, opening: str, closing: str) -
     return texts.select(key, fold.cast("int").alias("max_depth"))
 
 
-def nesting_by_window(tokens: DataFrame, key: str, at: str, delta: str) -> DataFrame:
+def nesting_by_window(tokens: DataFrame, key: str, at: str | Column, delta: str) -> DataFrame:
     """The same over a table with a row for each token."""
     run = F.sum(delta).over(Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return tokens.withColumn("__run", run).groupBy(key).agg(F.greatest(F.max("__run"), F.lit(0)).cast("int").alias("max_depth"))
