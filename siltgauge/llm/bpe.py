@@ -113,7 +113,7 @@ class Transducer:
                     left = self.parts[left][1]
                     if left == limit:
                         break
-        if len(self.fits_memo) > 1_000_000:
+        if len(self.fits_memo) > 300_000:
             self.fits_memo.clear()
         self.fits_memo[key] = ok
         return ok
@@ -227,7 +227,7 @@ class Transducer:
 class Codec:
     """Reads a tokenizer file; encodes and decodes whole texts."""
 
-    def __init__(self, path: str, most_chunks: int = 400_000):
+    def __init__(self, path: str, most_chunks: int = 150_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""

@@ -85,7 +85,7 @@ class Model:
         fresh = [w for w in words if w not in self.index]
         if not fresh:
             return
-        if len(self.index) + len(fresh) > 400_000:
+        if len(self.index) + len(fresh) > 150_000:
             self._fresh()
             fresh = list(words)
         get, none = self.ids.get, len(self.ids)
@@ -211,16 +211,16 @@ def label(docs: DataFrame, model: Model, text: str = "text", penalty: float = 6.
     """
 
     def run(pdf: pd.DataFrame) -> dict:
-        chunks = [t.split() if isinstance(t, str) else [] for t in pdf[text]]
+        texts = [t if isinstance(t, str) else "" for t in pdf[text]]
         langs = model.langs
-        pred, score, found = [None] * len(chunks), [0.0] * len(chunks), [[] for _ in chunks]
+        pred, score, found = [None] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         at = 0
-        while at < len(chunks):  # texts that together have a bounded number of words
+        while at < len(texts):  # only texts that together have a bounded length are held as words
             end, n = at, 0
-            while end < len(chunks) and (end == at or n + len(chunks[end]) <= 300_000):
-                n += len(chunks[end])
+            while end < len(texts) and (end == at or n + len(texts[end]) <= 1_000_000):
+                n += len(texts[end])
                 end += 1
-            part = chunks[at:end]
+            part = [t.split() for t in texts[at:end]]
             model.learn({w for c in part for w in c})
             where = [np.fromiter(map(model.index.__getitem__, c), np.int64, len(c)) for c in part]
             labels = viterbi([model.scores[w] for w in where], penalty) if langs else []
