@@ -298,6 +298,12 @@ class Codec:
             self.done[chunk] = made
         return made
 
+    def forget(self) -> None:
+        """Drop what was kept of finished chunks; the vocabulary stays."""
+        self.done.clear()
+        self.done_words.clear()
+        self.transducer.fits_memo.clear()
+
     def chunks(self, text: str) -> list[str]:
         return self.SPACE.split(text) if self.ODD.search(text) else text.split()
 
@@ -375,4 +381,4 @@ def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool
                 every.append(a)
         return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": plain} | ({"token_ids": every} if with_ids else {})
 
-    return widen(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else ""))
+    return widen(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else ""), lambda: codec(path).forget())

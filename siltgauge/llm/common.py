@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,10 +53,26 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
 
 
-def widen(df: DataFrame, fn: Callable, extra: str, batch: str = "pandas") -> DataFrame:
+def tidy(run: Callable, last: Callable | None = None) -> Callable:
+    """run over a partition's batches, then give memory back: workers live on, and what a task
+    kept must not add to what the executor's next operators need."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        if last is not None:
+            last()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
+def widen(df: DataFrame, fn: Callable, extra: str, last: Callable | None = None) -> DataFrame:
     """All columns of df and those that fn adds; fn maps a pandas batch to a dict of new columns.
 
-    Columns of df whose names clash with new ones are replaced.
+    Columns of df whose names clash with new ones are replaced. last runs when a task ends.
     """
     new = T.StructType.fromDDL(extra)
     kept = [c for c in df.columns if c not in new.fieldNames()]
@@ -66,7 +84,7 @@ def widen(df: DataFrame, fn: Callable, extra: str, batch: str = "pandas") -> Dat
             if len(pdf):
                 yield pdf[kept].assign(**fn(pdf))
 
-    return base.mapInPandas(run, schema)
+    return base.mapInPandas(tidy(run, last), schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:

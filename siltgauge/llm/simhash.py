@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_or_null, components, durable
+from .common import column_or_null, components, durable, tidy
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -173,7 +173,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
             fp = np.array([fingerprint(t, words) for t in pdf["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "t": pdf["t"], "fp": fp.view(np.int64)})
 
-    return slim.mapInPandas(run, "doc_id long, t long, fp long")
+    return slim.mapInPandas(tidy(run), "doc_id long, t long, fp long")
 
 
 def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
@@ -221,8 +221,8 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
             if (out := done(key, fp)) is not None:
                 yield out
 
-    keyed = distinct.select("fp").mapInPandas(spread, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "a long, b long")
+    keyed = distinct.select("fp").mapInPandas(tidy(spread), "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(tidy(meet), "a long, b long")
 
 
 def _groups(fps: DataFrame, most: int) -> DataFrame:

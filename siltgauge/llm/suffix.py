@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_or_null, durable
+from .common import column_or_null, durable, tidy
 
 GRAM = 64
 REFINE = (128, 176)  # longer anchors for what a common one brings together
@@ -274,7 +274,7 @@ def _anchors(keyed: DataFrame, length: int) -> DataFrame:
                     yield pd.DataFrame(rows, columns=["h", "c", "d", "t", "at", "times"])
 
     # texts with fewer bytes have no window; the JVM drops them
-    return keyed.where(F.octet_length("text") >= length).select("d", "t", "text").mapInPandas(run, "h long, c long, d long, t int, at long, times long")
+    return keyed.where(F.octet_length("text") >= length).select("d", "t", "text").mapInPandas(tidy(run), "h long, c long, d long, t int, at long, times long")
 
 
 def _index_blocks(pieces: DataFrame, length: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _index_blocks(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield done(held)
 
-    return pieces.repartition("h").sortWithinPartitions("h").mapInPandas(run, "d long, t int, b long, e long")
+    return pieces.repartition("h").sortWithinPartitions("h").mapInPandas(tidy(run), "d long, t int, b long, e long")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
@@ -353,7 +353,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST
 
     # equal rows come twice, but no context of theirs is single, and only single ones report
     lists = border.groupBy("d", "t").agg(F.collect_list(F.struct("h", "at", "single", "hot")).alias("cuts"))
-    pieces = keyed.select("d", "t", "text").join(lists, ["d", "t"]).mapInPandas(cut, PIECE)
+    pieces = keyed.select("d", "t", "text").join(lists, ["d", "t"]).mapInPandas(tidy(cut), PIECE)
     hot = tagged.where(F.col("kinds") > most_contexts).limit(1).count()
     if hot:
         pieces = durable(pieces)
@@ -379,7 +379,7 @@ def _refine(pieces: DataFrame, length: int, gram: int, most_contexts: int) -> tu
             data = [x[f : f + k + length - 1] for x, f, k in zip(own["data"], first.tolist(), n.tolist())]
             yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "d": own["d"].to_numpy(), "t": own["t"].to_numpy(), "first": own["first"].to_numpy() + first, "data": data, "single": own["single"].to_numpy()})
 
-    parts = durable(pieces.mapInPandas(split, PIECE.replace("h long,", "h long, c long,").replace(", hot boolean", "")))
+    parts = durable(pieces.mapInPandas(tidy(split), PIECE.replace("h long,", "h long, c long,").replace(", hot boolean", "")))
     one = parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"))
     many = one.groupBy("h").agg(F.count(F.when(F.col("times") > 0, 1)).alias("kinds"))
     status = one.join(many, "h").where("times > 1 OR kinds > 1")
@@ -408,7 +408,7 @@ def _count_windows(pieces: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pd.DataFrame(dict(zip("dtbwvs", map(np.concatenate, zip(*out)))))
 
-    windows = durable(pieces.mapInPandas(count, "d long, t int, b long, w long, v long, s boolean"))
+    windows = durable(pieces.mapInPandas(tidy(count), "d long, t int, b long, w long, v long, s boolean"))
     twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     return windows.where("s").join(twice, ["w", "v"], "left_semi").select("d", "t", "b", (F.col("b") + length).alias("e"))
 
@@ -442,4 +442,4 @@ def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
 
     shape = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
     shape = T.StructType(shape.fields + [T.StructField(a, docs.schema[c].dataType) for a, c in more.items()])
-    return keyed.join(spans, ["d", "t"], "left").mapInPandas(run, shape).withColumnsRenamed(more)
+    return keyed.join(spans, ["d", "t"], "left").mapInPandas(tidy(run), shape).withColumnsRenamed(more)
