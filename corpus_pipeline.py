@@ -42,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row with their digests and those of the decoded text."""
-    out = bpe.encode_frame(docs.select("doc_id", "source", "lang", "text"), tokenizer_path(), with_ids=True)
+    out = bpe.encode_frame(docs.select("doc_id", "source", "lang", "text"), tokenizer_path(), with_ids=True, keep_text=False)
     return out.select("doc_id", "source", "lang", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 

@@ -360,7 +360,7 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, and token_ids if asked for.
 
     token_ids holds the ids as little-endian unsigned 32-bit integers.
@@ -381,4 +381,4 @@ def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool
                 every.append(a)
         return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": plain} | ({"token_ids": every} if with_ids else {})
 
-    return widen(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else ""), lambda: codec(path).forget())
+    return widen(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else ""), lambda: codec(path).forget(), () if keep_text else (text,))

@@ -69,20 +69,22 @@ def tidy(run: Callable, last: Callable | None = None) -> Callable:
     return whole
 
 
-def widen(df: DataFrame, fn: Callable, extra: str, last: Callable | None = None) -> DataFrame:
+def widen(df: DataFrame, fn: Callable, extra: str, last: Callable | None = None, drop: tuple[str, ...] = (), rows: int = 1000) -> DataFrame:
     """All columns of df and those that fn adds; fn maps a pandas batch to a dict of new columns.
 
     Columns of df whose names clash with new ones are replaced. last runs when a task ends.
+    Columns in drop are only read: they never travel back. Batches are worked through by rows.
     """
     new = T.StructType.fromDDL(extra)
-    kept = [c for c in df.columns if c not in new.fieldNames()]
+    kept = [c for c in df.columns if c not in new.fieldNames() and c not in drop]
     base = df.select(*[F.col(f"`{c}`") for c in df.columns])
     schema = T.StructType([f for f in base.schema.fields if f.name in kept] + new.fields)
 
     def run(batches: Iterator):
         for pdf in batches:
-            if len(pdf):
-                yield pdf[kept].assign(**fn(pdf))
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at : at + rows]
+                yield part[kept].assign(**fn(part))
 
     return base.mapInPandas(tidy(run, last), schema)
 

@@ -259,4 +259,4 @@ def extract(pages: DataFrame, html: str = "html", tree: Tree | None = None) -> D
         texts = [main_text(x if isinstance(x, str) else "", tree) for x in pdf[html]]
         return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    return widen(pages, run, "text string, n_chars long").drop(html)
+    return widen(pages, run, "text string, n_chars long", drop=(html,))

@@ -202,7 +202,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     return Model(dict(counts), {k: scripts[k] for k in counts})
 
 
-def label(docs: DataFrame, model: Model, text: str = "text", penalty: float = 6.0, spans: bool = False) -> DataFrame:
+def label(docs: DataFrame, model: Model, text: str = "text", penalty: float = 6.0, spans: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with lang_pred and score, and spans (label, first word, end word) if asked for.
 
     score is the share of letters inside spans of the language that won. Defined cases: a text
@@ -240,7 +240,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", penalty: float = 6.
             at = end
         return {"lang_pred": pred, "score": score} | ({"spans": found} if spans else {})
 
-    return widen(docs, run, "lang_pred string, score double" + ", spans array<struct<lang:string,begin:int,end:int>>" * spans)
+    return widen(docs, run, "lang_pred string, score double" + ", spans array<struct<lang:string,begin:int,end:int>>" * spans, drop=() if keep_text else (text,))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
@@ -248,4 +248,4 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
     model = fit(docs, doc_id=doc_id)
     slim = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
     slim = slim.withColumn("held_out", held_out(F.col("doc_id")))
-    return label(slim, model, **kw).drop("text")
+    return label(slim, model, keep_text=False, **kw)

@@ -23,7 +23,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_frame(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_frame(docs, tokenizer_path(), keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     held = docs.withColumn("held_out", langid.held_out(docs["doc_id"]))
-    return toxicity.rate(held, lexicon).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.rate(held, lexicon, keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Lexicon:
     return learn([r["text"] for r in rows if r["y"] == 1], [r["text"] for r in rows if r["y"] == 0])
 
 
-def rate(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+def rate(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with score and predicted.
 
     Defined cases: null and empty texts get the score of no match; with no labelled rows nothing
@@ -227,4 +227,4 @@ def rate(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
         scores = [lexicon.score(t if isinstance(t, str) else "") for t in pdf[text]]
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
-    return widen(docs, run, "score double, predicted int")
+    return widen(docs, run, "score double, predicted int", drop=() if keep_text else (text,))
