@@ -86,7 +86,7 @@ def extract(text: str, rel_path: str, rust: bool = False) -> dict:
     for _, t in toks:
         if t in "{([" and len(t) == 1:
             shape.append(t)
-        elif t in "#[#![":
+        elif t in ("#[", "#!["):
             shape.append("[")
         elif t in "})]" and len(t) == 1:
             if not shape or {"{": "}", "(": ")", "[": "]"}[shape.pop()] != t:

@@ -19,7 +19,7 @@ from ..thresholds import NORMAL, RELAXED, STRICT, Limits
 
 TAGS = "ul|li|div|nav|a|h1|article|footer"
 OPENING, CLOSING = rf"<(?:{TAGS})(?: [^>]*)?>", rf"</(?:{TAGS})>"
-RISKY = "[A-Za-z0-9_.]+@[A-Za-z0-9]+|password|secret|token|licen[cs]e"
+RISKY = "[A-Za-z0-9_.]@[A-Za-z0-9]|password|secret|token|licen[cs]e"
 BLANK = r"[ \t\n\f\r;]+"
 
 

@@ -19,7 +19,7 @@ DOCS = f"""d0 AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS
     facts AS (SELECT path, text, lang, source, CAST(strlen(text) AS BIGINT) AS size_bytes,
         CAST(length(text) - length(replace(text, chr(10), '')) + 1 - CASE WHEN text = '' OR suffix(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count,
         CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 30)) AS BIGINT) AS comment_line_count,
-        {_n("text", "[A-Za-z0-9_.]+@[A-Za-z0-9]+|password|secret|token|licen[cs]e")} AS dangerous_pattern_count,
+        {_n("text", "[A-Za-z0-9_.]@[A-Za-z0-9]|password|secret|token|licen[cs]e")} AS dangerous_pattern_count,
         {_n("text", "[?!;:,]")} AS branch_count, {_n("text", "[.]")} AS function_count FROM d0)"""
 
 

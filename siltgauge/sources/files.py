@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .workspace import EXCLUDED, Workspace
+from .workspace import EXCLUDED, Workspace, excluded
 
 
 @dataclass(frozen=True)
@@ -40,10 +44,32 @@ def _language(path):
     return out
 
 
+def _underscored(root: str, ends: tuple[str, ...]) -> list[str]:
+    """Files of a mounted tree that Spark's listing hides, as their own or a folder's name begins with an underscore."""
+    base = root.removeprefix("file://")
+    if "://" in base:
+        return []
+    out = []
+    for folder, dirs, names in os.walk(os.path.abspath(base)):
+        dirs[:] = [d for d in dirs if not excluded(d) and not d.startswith(".")]
+        below = os.path.relpath(folder, os.path.abspath(base)).split(os.sep)
+        hidden = any(x.startswith("_") for x in below)
+        out += [os.path.join(folder, n) for n in names if n.endswith(ends) and (hidden or n.startswith("_"))]
+    return sorted(out)
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        data = [Path(p).read_bytes() for p in pdf["p"]]
+        yield pd.DataFrame({"p": pdf["p"], "length": [len(x) for x in data], "content": data})
+
+
 def read_files(spark: SparkSession, root: str, include_tests: bool = False, languages: tuple[str, ...] = (), ignore: tuple[str, ...] = ()) -> DataFrame:
     """All source files below root: path, rel_path, size_bytes, line_count, language, package, metadata, text.
 
-    The listing filters by name before any content is read. Declaration files, tests, excluded
+    The listing filters by name before any content is read. Names that begin with an underscore,
+    which Spark's own listing hides, are read beside it in mounted trees, not in object stores.
+    Declaration files, tests, excluded
     folders and ignored patterns (regular expressions over the relative path) are left out.
     """
     ends = ",".join(e[1:] for x in LANGUAGES.values() if not languages or x.name in languages for e in x.extensions)
@@ -51,7 +77,12 @@ def read_files(spark: SparkSession, root: str, include_tests: bool = False, lang
     clean = F.regexp_replace("path", r"^file:/+", "/")
     base = "/" + root.split("://")[-1].strip("/") + "/"
     rel = F.expr(f"substr(p, instr(p, '{base}') + {len(base)})") if "'" not in base else F.regexp_replace("p", F.lit(base), F.lit(""))
-    files = raw.select(clean.alias("p"), "length", "content").withColumn("rel_path", rel)
+    files = raw.select(clean.alias("p"), "length", "content")
+    more = _underscored(root, tuple("." + e for e in ends.split(",")))
+    if more:
+        hidden = spark.createDataFrame([(p,) for p in more], "p string").repartition(min(len(more), 64))
+        files = files.union(hidden.mapInPandas(_contents, "p string, length long, content binary"))
+    files = files.withColumn("rel_path", rel)
     folders = "|".join(x.replace(".", r"\.") for x in sorted(EXCLUDED))
     files = files.where(~F.col("rel_path").rlike(rf"(^|/)({folders}|[^/]*\.egg-info)/") & ~F.col("rel_path").rlike(r"\.d\.[cm]?ts$"))
     for pattern in ignore:
