@@ -191,7 +191,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                     c.update([y[i : i + 3] for i in range(len(y) - 2)])
                     c.update(["#" + s for s in {script(z) for z in part}])
         for lang_, c in grams.items():
-            yield pd.DataFrame({"lang": lang_, "gram": list(c), "n": list(c.values())})
+            if c:  # texts without a letter teach nothing
+                yield pd.DataFrame({"lang": lang_, "gram": list(c), "n": list(c.values())})
 
     sums = d.join(F.broadcast(few), d["doc_id"] == few["pick"], "left_semi").select("lang", "text").mapInPandas(tally, "lang string, gram string, n long")
     for r in sums.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -213,8 +214,8 @@ def label(docs: DataFrame, model: Model, text: str = "text", penalty: float = 6.
     def run(pdf: pd.DataFrame) -> dict:
         texts = [t if isinstance(t, str) else "" for t in pdf[text]]
         langs = model.langs
-        pred, score, found = [None] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-        at = 0
+        pred, score, found = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+        at = 0 if langs else len(texts)
         while at < len(texts):  # only texts that together have a bounded length are held as words
             end, n = at, 0
             while end < len(texts) and (end == at or n + len(texts[end]) <= 1_000_000):
@@ -223,12 +224,11 @@ def label(docs: DataFrame, model: Model, text: str = "text", penalty: float = 6.
             part = [t.split() for t in texts[at:end]]
             model.learn({w for c in part for w in c})
             where = [np.fromiter(map(model.index.__getitem__, c), np.int64, len(c)) for c in part]
-            labels = viterbi([model.scores[w] for w in where], penalty) if langs else []
+            labels = viterbi([model.scores[w] for w in where], penalty)
             for k, w in enumerate(where):
                 n_letters = model.letters[w]
                 total = int(n_letters.sum())
-                if not total or not langs:
-                    pred[at + k] = "und"
+                if not total:
                     continue
                 sums = np.bincount(labels[k], n_letters, len(langs))
                 best = int(sums.argmax())
