@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgauge.llm import bpe, langid, mixing, simhash, suffix
+from siltgauge.llm import bpe, langid, mixing, near, suffix
 from siltgauge.llm.common import durable
 from siltgauge.llm.queries import tokenizer_path
 
@@ -25,8 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    return near.keep_one(docs.select(*COLUMNS))
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,7 +256,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     fps = durable(fingerprints(docs, text, doc_id, words))
     rows = fps.join(_groups(fps, most).select("fp", "component"), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), "t")).alias("who")
-    stay = rows.groupBy("component").agg(first).select(F.col("who.i").alias("__i"), F.col("who.t").alias("__t"), F.col("who.none").alias("__none"))
+    return surviving(docs, rows.groupBy("component").agg(first), text, doc_id)
+
+
+def surviving(docs: DataFrame, first: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of docs that first names by a struct who (none, i, t): no id, id, hash of the text."""
+    stay = first.select(F.col("who.i").alias("__i"), F.col("who.t").alias("__t"), F.col("who.none").alias("__none"))
     keyed = docs.withColumns({"__i": F.coalesce(column_or_null(docs, doc_id, "long"), F.lit(0)), "__t": F.xxhash64(column_or_null(docs, text, "string")), "__none": column_or_null(docs, doc_id, "long").isNull()})
     kept = keyed.join(stay, ["__i", "__t", "__none"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("__i", "__t", "__none").orderBy("__i"))
