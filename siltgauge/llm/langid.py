@@ -85,7 +85,7 @@ class Model:
         fresh = [w for w in words if w not in self.index]
         if not fresh:
             return
-        if len(self.index) + len(fresh) > 150_000:
+        if len(self.index) + len(fresh) > min(150_000, 30_000_000 // len(self.langs)):
             self._fresh()
             fresh = list(words)
         get, none = self.ids.get, len(self.ids)
@@ -131,7 +131,7 @@ def viterbi(rows: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
     Ties keep the label, and else take the first.
     """
-    out: list[np.ndarray] = [np.zeros(len(r), np.int8) for r in rows]
+    out: list[np.ndarray] = [np.zeros(len(r), np.int32) for r in rows]
     order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
     for g in range(0, len(order), 512):
         group = [i for i in order[g : g + 512] if len(rows[i])]
@@ -150,10 +150,10 @@ def viterbi(rows: list[np.ndarray], penalty: float) -> list[np.ndarray]:
             top = v.argmax(1)
             jump = v[np.arange(live), top][:, None] - penalty
             moved = jump > v
-            steps.append((moved, top.astype(np.int8)))
+            steps.append((moved, top.astype(np.int32)))
             value[:live] = np.where(moved, jump, v) + every[begins[:live] + t]
         label = value.argmax(1)
-        labels = np.zeros(len(every), np.int8)
+        labels = np.zeros(len(every), np.int32)
         for t in range(int(lens[0]) - 1, -1, -1):
             live = int(np.searchsorted(-lens, -t, "left"))
             labels[begins[:live] + t] = label[:live]
@@ -166,17 +166,16 @@ def viterbi(rows: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_lang: int = 1000, most_langs: int = 200) -> Model:
-    """Learn from at most per_lang rows of each of the most_langs languages with most rows.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_lang: int = 1000) -> Model:
+    """Learn every language of the table from at most per_lang of its rows.
 
     Rows whose crc32 of the id is divisible by 5 are left out, and so are null languages.
     """
     d = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, lang, "string").alias("lang"), column_or_null(docs, text, "string").alias("text"))
     d = d.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = d.select("lang", F.col("doc_id").alias("pick"), F.xxhash64("doc_id").alias("k"))
-    top = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
     ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "pick"))).where(F.col("n") <= per_lang)
-    picks = [r[0] for r in ids.join(F.broadcast(top), "lang").select("pick").distinct().collect()]  # per_lang * most_langs at most
+    picks = [r[0] for r in ids.select("pick").distinct().collect()]  # at most per_lang for each language
     few = d.sparkSession.createDataFrame([(p,) for p in picks], "pick long")
     counts: dict[str, Counter] = defaultdict(Counter)
     scripts: dict[str, Counter] = defaultdict(Counter)
@@ -216,9 +215,10 @@ def label(docs: DataFrame, model: Model, text: str = "text", penalty: float = 6.
         langs = model.langs
         pred, score, found = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         at = 0 if langs else len(texts)
+        room = 1_000_000 * 32 // max(32, len(langs))
         while at < len(texts):  # only texts that together have a bounded length are held as words
             end, n = at, 0
-            while end < len(texts) and (end == at or n + len(texts[end]) <= 1_000_000):
+            while end < len(texts) and (end == at or n + len(texts[end]) <= room):
                 n += len(texts[end])
                 end += 1
             part = [t.split() for t in texts[at:end]]
