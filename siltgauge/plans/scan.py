@@ -16,6 +16,9 @@ from ..sources.files import LANGUAGES, detect_languages, read_files, tag_package
 from ..sources.workspace import cargo_workspace, js_workspace, python_workspace
 from ..thresholds import Limits, profile
 
+#: Most files whose errors a report lists; it says how many more there are.
+MOST_ERRORS = 100_000
+
 
 @dataclass(frozen=True)
 class Options:
@@ -84,7 +87,9 @@ def scan(spark: SparkSession, root: str, options: Options = Options()) -> Report
     facts = file_facts(files, options.plugins).persist()  # three branches read it
     try:
         n, lines, tokens, failed = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum("line_count"), F.lit(0)), F.coalesce(F.sum(S.estimated_tokens(F.col("size_bytes"))), F.lit(0)), F.count("error")).first()
-        errors = [f"{r[0]}: {r[1]}" for r in facts.where("error IS NOT NULL").select("rel_path", "error").orderBy("rel_path").limit(1000).collect()]
+        errors = [f"{r[0]}: {r[1]}" for r in facts.where("error IS NOT NULL").select("rel_path", "error").orderBy("rel_path").limit(MOST_ERRORS).collect()]
+        if failed > len(errors):
+            errors.append(f"{failed - len(errors)} more files with errors are not listed")
         names = facts.select(F.col("path").alias("__p"), "rel_path")
         found = findings(facts, limits).join(names, F.col("path") == F.col("__p")).withColumn("path", F.col("rel_path")).drop("__p", "rel_path")
         found = spark.createDataFrame(found.collect(), found.schema) if n <= 100_000 else found  # a report of a tree; larger corpora stay lazy
