@@ -2,15 +2,18 @@
 
 The vocabulary is a tokenizer file of the kind that names a BPE model with an end-of-word
 suffix. Text is cut at special tokens and white space, each chunk is normalised and cut into
-words, and each word streams through :class:`Transducer`. The transducer keeps, for each of the
-last ``lookahead`` symbols, the last token of the encoding of the prefix that ends there. Each
-prefix of a word has one BPE encoding, and its last token is the only one that ends there and
-stands validly next to the encoding of what precedes it. Later symbols can only extend prefixes
-inside the lookahead, which is the length of the longest token of the merge list; the tokens that
-all live prefixes share are stable and are emitted at once. What is kept never grows with the
-word.
-
-Words repeat, so finished chunks are kept in a table of bounded size.
+words, and each word streams through the :class:`Transducer`.
+
+Each prefix of a word has one BPE encoding, and its last token is the only one that ends there and
+stands validly next to the encoding of what precedes it. So the transducer keeps, for the prefixes
+that a later token can still begin behind, their last token and where it began. How far back those
+reach, the sufficient lookahead, follows from the merge list: it is the length of the longest
+token that BPE can yield at all. Tokens that all these live prefixes share are stable and leave
+the window; what is kept never grows with the word.
+
+Words are streamed side by side, a symbol of each at a time, as lanes of arrays. When few are left,
+each goes on alone in :meth:`Transducer.stream`, by the same steps. Finished words and chunks are
+kept in tables of bounded size, which lose their older half when they are full.
 """
 
 from __future__ import annotations
@@ -19,15 +22,19 @@ import hashlib
 import json
 import re
 import struct
-import unicodedata
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from .common import widen
 
+NEVER = np.iinfo(np.int32).max
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in vocabulary files of byte-level BPE."""
@@ -37,317 +44,479 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Table:
+    """Open addressing over arrays: whole numbers to whole numbers, -1 where a key is absent."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            lucky = np.nonzero(free)[0][first]
+            self.keys[slot[lucky]], self.values[slot[lucky]] = keys[left[lucky]], values[left[lucky]]
+            stay = np.ones(len(left), bool)
+            stay[lucky] = False
+            left, slot = left[stay], slot[stay] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * self.MIX >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        same = found == keys
+        out = np.where(same, self.values[slot], -1)
+        left = np.nonzero(~same & (found >= 0))[0]
+        while len(left):
+            slot = slot[left] + 1 & self.mask if len(slot) == len(keys) else slot + 1 & self.mask
+            found = self.keys[slot]
+            same = found == keys[left]
+            out[left[same]] = self.values[slot[same]]
+            go = ~same & (found >= 0)
+            left, slot = left[go], slot[go]
+        return out
+
+
 class Transducer:
-    """Encodes the symbols of one word; memory is bounded by the lookahead, not by the word."""
+    """Encodes words symbol by symbol; memory is bounded by the lookahead, not by the word.
+
+    Tokens are numbered by birth: symbols first, then one for each merge in its order, so that a
+    number is also the time at which merging makes the token.
+    """
+
+    FEW = 24  # lanes below which each goes on alone
 
-    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], suffix: str):
-        self.suffix = suffix
-        # ranks: symbols first, then one for each merge in its order; ids are another matter
-        self.tokens: list[str] = []
-        self.rank: dict[str, int] = {}
+    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]]):
         made = [(a, b, a + b) for a, b in merges]
         results = {m for _, _, m in made}
-        for t in vocab:
-            if t not in results:
-                self._add(t)
+        self.tokens = [t for t in vocab if t not in results]
         self.symbols = len(self.tokens)
-        self.parts: list[tuple[int, int]] = [(k, k) for k in range(self.symbols)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.born = {t: k for k, t in enumerate(self.tokens)}
+        left, right = [-1] * self.symbols, [-1] * self.symbols
         for a, b, m in made:
-            if m in self.rank or a not in self.rank or b not in self.rank:
-                continue
-            self._add(m)
-            self.parts.append((self.rank[a], self.rank[b]))
-            self.pairs[self.rank[a], self.rank[b]] = self.rank[m]
-        self.ids = [vocab[t] for t in self.tokens]
-        self.length = [1] * self.symbols
-        for a, b in self.parts[self.symbols :]:
-            self.length.append(self.length[a] + self.length[b])
-        #: No token is longer: a prefix that ended so long ago can't be extended any more.
-        self.lookahead = max(self.length, default=1)
-        self.ends = self._by_end()
-        self.fits_memo: dict[tuple[int, int], bool] = {}
-
-    def _add(self, token: str) -> None:
-        self.rank[token] = len(self.tokens)
-        self.tokens.append(token)
-
-    def _by_end(self) -> dict:
-        """A trie over tokens read backwards, by symbols."""
-        root: dict = {}
+            if m not in self.born and a in self.born and b in self.born:
+                left.append(self.born[a])
+                right.append(self.born[b])
+                self.born[m] = len(self.tokens)
+                self.tokens.append(m)
+        n = len(self.tokens)
+        self.left, self.right = np.array(left, np.int32), np.array(right, np.int32)
+        self.ids = np.array([vocab[t] for t in self.tokens], np.uint32)
+        merged = np.arange(self.symbols, n)
+        keys = self.left[merged].astype(np.int64) * n + self.right[merged]
+        self.pairs = Table(keys, merged)
+        self.pair_of = dict(zip(keys.tolist(), merged.tolist()))
+        self.reachable = self._reachable(merged)
+        self._spell()
+        self.alone: dict[int, bool] = {}
+
+    def _reachable(self, merged: np.ndarray) -> np.ndarray:
+        """Tokens that BPE makes of their own spelling: no merge over the border of their parts comes first."""
+        ok = np.ones(len(self.tokens), bool)
+        ok[merged] = self.fit(self.left[merged], self.right[merged], merged)
+        for t in merged.tolist():
+            if ok[t]:
+                ok[t] = ok[self.left[t]] and ok[self.right[t]]
+        return ok
+
+    def _spell(self) -> None:
+        """A trie over reachable tokens read backwards; a node is a string that ends a token."""
         spelled: list[tuple[int, ...]] = []
-        for r, (a, b) in enumerate(self.parts):
-            spelled.append((r,) if r < self.symbols else spelled[a] + spelled[b])
-            node = root
-            for s in reversed(spelled[r]):
-                node = node.setdefault(s, {})
-            node[-1] = r
-        return root
-
-    def fits(self, left: int, right: int) -> bool:
-        """Whether two tokens may stand side by side: no merge over their border comes first."""
-        key = (left, right)
-        known = self.fits_memo.get(key)
-        if known is not None:
-            return known
-        limit = len(self.tokens)
-        ok = True
+        for t, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
+            spelled.append((t,) if a < 0 else spelled[a] + spelled[b])
+        some = np.nonzero(self.reachable)[0]
+        length = np.array([len(spelled[t]) for t in some.tolist()])
+        #: No token is longer: behind a prefix that ended so long ago nothing can begin any more.
+        self.lookahead = int(length.max(initial=1))
+        node, total = np.zeros(len(some), np.int64), 1
+        token = [np.full(1, -1, np.int32)]
+        keys, kids = [], []
+        for depth in range(self.lookahead):
+            on = np.nonzero(length > depth)[0]
+            last = np.array([spelled[t][-1 - depth] for t in some[on].tolist()], np.int64)
+            made, which = np.unique(node[on] * self.symbols + last, return_inverse=True)
+            keys.append(made)
+            kids.append(total + np.arange(len(made), dtype=np.int32))
+            node[on] = total + which
+            names = np.full(len(made), -1, np.int32)
+            full = length[on] == depth + 1
+            names[which[full]] = some[on][full]
+            token.append(names)
+            total += len(made)
+        keys, kids = np.concatenate(keys), np.concatenate(kids)
+        self.trie, self.token_at = Table(keys, kids), np.concatenate(token)
+        self.kid_of, self.token_list = dict(zip(keys.tolist(), kids.tolist())), self.token_at.tolist()
+
+    def fit(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
+        """Whether tokens a and b may stand side by side (until some time, if given).
+
+        Merging is run backwards from the two whole tokens: of the pieces at the border the one
+        born later is split. A merge over the border happens if it comes before both pieces are
+        used up by merges of their own sides; of one rule's merges the leftmost comes first.
+        """
+        n = len(self.tokens)
+        ok = np.ones(len(a), bool)
+        lane = np.arange(len(a))
+        used_a = np.full(len(a), NEVER, np.int32) if until is None else until.astype(np.int32)
+        used_b = used_a.copy()
+        while len(lane):
+            m = self.pairs.get(a.astype(np.int64) * n + b)
+            bad = (m >= 0) & (m < used_a) & (m <= used_b)
+            ok[lane[bad]] = False
+            go = np.nonzero(~bad & (np.maximum(a, b) >= self.symbols))[0]
+            lane, a, b, used_a, used_b = lane[go], a[go], b[go], used_a[go], used_b[go]
+            first = a >= b
+            used_a, used_b = np.where(first, a, used_a), np.where(first, used_b, b)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return ok
+
+    def fits(self, a: int, b: int) -> bool:
+        """fit() of one pair, remembered."""
+        key = a * len(self.tokens) + b
+        if key not in self.alone:
+            if len(self.alone) >= 200_000:
+                self.alone = dict(islice(self.alone.items(), 100_000, None))
+            self.alone[key] = self._fits(a, b)
+        return self.alone[key]
+
+    def _fits(self, a: int, b: int) -> bool:
+        n, used_a, used_b = len(self.tokens), NEVER, NEVER
         while True:
-            m = self.pairs.get((left, right))
-            if m is not None and m < limit:
-                ok = False
-                break
-            if left > right:
-                limit = left
-                left = self.parts[left][1]
-                if left == limit:
-                    limit = right + 1
-                    right = self.parts[right][0]
-                    if right + 1 == limit:
-                        break
+            m = self.pair_of.get(a * n + b, NEVER)
+            if m < used_a and m <= used_b:
+                return False
+            if a < self.symbols and b < self.symbols:
+                return True
+            if a >= b:
+                used_a, a = a, int(self.right[a])
             else:
-                limit = right + 1
-                right = self.parts[right][0]
-                if right + 1 == limit:
-                    limit = left
-                    left = self.parts[left][1]
-                    if left == limit:
-                        break
-        if len(self.fits_memo) > 300_000:
-            self.fits_memo.clear()
-        self.fits_memo[key] = ok
-        return ok
+                used_b, b = b, int(self.left[b])
 
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
-        """Ids of tokens, each as soon as no later symbol can change it."""
-        window: deque[int] = deque(maxlen=self.lookahead)  # last symbols
-        live: deque[tuple] = deque([(None, -1, 0)], maxlen=self.lookahead)  # (prefix's node, last token, its depth)
-        emitted = 0
+        """Ids of one word's tokens, each as soon as no later symbol can change it."""
+        window: deque[int] = deque(maxlen=self.lookahead)
+        ends = {0: (-1, -1)}  # live prefix: its last token and where that begins
+        done, at = 0, 0
         for s in symbols:
             window.append(s)
-            node, back, best = self.ends, 0, None
-            size, held = len(window), len(live)
-            while back < size:
-                node = node.get(window[size - 1 - back])
-                if node is None:
+            at += 1
+            node, back = 0, at
+            for x in reversed(window):
+                node = self.kid_of.get(node * self.symbols + x)
+                back -= 1
+                if node is None or back < done:
                     break
-                back += 1
-                if back > held:
+                t = self.token_list[node]
+                if t >= 0 and back in ends and (ends[back][0] < 0 or self.fits(ends[back][0], t)):
+                    ends[at] = (t, back)
                     break
-                t = node.get(-1)
-                if t is None:
-                    continue
-                before = live[held - back]
-                if before is None:
-                    continue
-                if before[1] < 0 or self.fits(before[1], t):
-                    best = (before, t, before[2] + 1)
-                    break
-            live.append(best)
-            if len(live) == self.lookahead and best is not None:
-                yield from (self.ids[t] for t in self._stable(live, emitted))
-                emitted = self._settle(live, emitted)
-        last = live[-1]
+            if at not in ends:
+                raise ValueError("a symbol without a token")
+            if at % self.lookahead == 0:
+                path = self._path(ends, self._shared(ends, at, done), done)
+                yield from (int(self.ids[t]) for _, t in path)
+                if path:
+                    done = path[-1][0]
+                    ends = {p: v for p, v in ends.items() if p >= done}
+        yield from (int(self.ids[t]) for _, t in self._path(ends, at, done))
+
+    def _shared(self, ends: dict, at: int, done: int) -> int:
+        """The last end that the encodings of all live prefixes have in common."""
+        live = {p for p in range(max(done, at - self.lookahead + 1), at + 1)}
+        while len(live) > 1:
+            far = max(live)
+            live.remove(far)
+            live.add(max(done, ends[far][1]))
+        return live.pop()
+
+    @staticmethod
+    def _path(ends: dict, at: int, done: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens between two ends."""
         out = []
-        while last is not None and last[1] >= 0 and last[2] > emitted:
-            out.append(last[1])
-            last = last[0]
-        for t in reversed(out):
-            yield self.ids[t]
-
-    def short(self, symbols: list[int]) -> list[int]:
-        """As stream(), for a word no longer than the lookahead, all of which is live."""
-        ends, memo, last, starts = self.ends, self.fits_memo, [], []
-        for i in range(len(symbols)):
-            node, j = ends, i
-            while True:
-                node = node.get(symbols[j])
-                if node is None:
-                    raise ValueError("a prefix without encoding")
-                t = node.get(-1)
-                if t is not None:
-                    if j == 0:
-                        break
-                    ok = memo.get((last[j - 1], t))
-                    if ok if ok is not None else self.fits(last[j - 1], t):
-                        break
-                j -= 1
-                if j < 0:
-                    raise ValueError("a prefix without encoding")
-            last.append(t)
-            starts.append(j)
-        out, i = [], len(symbols)
-        while i > 0:
-            out.append(self.ids[last[i - 1]])
-            i = starts[i - 1]
+        while at > done:
+            out.append((at, ends[at][0]))
+            at = ends[at][1]
         return out[::-1]
 
-    def _common(self, live: deque) -> tuple:
-        """The deepest node that all live prefixes share."""
-        nodes = {id(x): x for x in live if x is not None}
-        while len(nodes) > 1:
-            deepest = max(nodes.values(), key=lambda x: x[2])
-            del nodes[id(deepest)]
-            up = deepest[0]
-            nodes[id(up)] = up
-        return next(iter(nodes.values()))
-
-    def _stable(self, live: deque, emitted: int) -> list[int]:
-        node, out = self._common(live), []
-        while node is not None and node[1] >= 0 and node[2] > emitted:
-            out.append(node[1])
-            node = node[0]
-        return out[::-1]
+    def lanes(self, symbols: np.ndarray, size: np.ndarray, room: int = 5) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the tokens of all words, and each word's number of them; words are streamed side by side.
+
+        symbols has the words one after the other. A lane's window has ``room`` lookaheads. When it
+        is full, what all live prefixes share is emitted and the window moves on by all but two lookaheads.
+        """
+        begin, order = np.cumsum(size) - size, np.argsort(-size, kind="stable")
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, end, id
+        for g in range(0, len(order), 16384):
+            group = order[g : g + 16384]
+            if size[group[0]]:
+                found += self._lanes(symbols, begin[group], size[group], group, room * self.lookahead)
+        word, end, ids = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        return ids[np.argsort((word << 32) + end, kind="stable")], np.bincount(word, minlength=len(size))
+
+    def _lanes(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, word: np.ndarray, wide: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word, end, id) of the tokens of words that are sorted, longest first."""
+        wide = min(wide, int(size[0]))
+        last, back = (np.full((wide + 1, len(size)), fill, np.int32) for fill in (-1, 0))
+        symbol = np.zeros((wide + 1, len(size)), np.int64)
+        root = np.zeros(len(size), np.int64)  # what ends at or before it has been emitted
+        solo = np.zeros(len(size), bool)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def emit(lane: np.ndarray, end: np.ndarray) -> None:
+            while len(lane):
+                go = (end > root[lane]) & ~solo[lane]
+                lane, end = lane[go], end[go]
+                found.append((lane, end + shift, self.ids[last[end, lane]]))
+                end = back[end, lane].astype(np.int64)
+
+        shift, col, live = 0, 0, len(size)
+        for t in range(int(size[0]) + 1):
+            now = int(np.searchsorted(-size, -t, "left"))  # lanes that have a symbol t
+            emit(np.arange(now, live), np.full(live - now, col))
+            live = now
+            if live < self.FEW:
+                solo[:live] = True
+                break
+            if col == wide:
+                self._settle(last, back, root, solo, live, emit)
+                move = col - 2 * self.lookahead
+                for x in (last, back, symbol):
+                    x[: col - move + 1] = x[move:].copy()
+                np.maximum(back - move, 0, out=back)
+                root = np.maximum(root - move, 0)
+                shift, col = shift + move, col - move
+            col += 1
+            symbol[col, :live] = symbols[begin[:live] + t]
+            self._step(last, back, symbol, col, live, shift)
+        found = [(lane[ok], end[ok], ids[ok]) for lane, end, ids in found for ok in [~solo[lane]]] if solo.any() else found
+        for k in np.nonzero(solo)[0].tolist():
+            ids = np.fromiter(self.stream(symbols[begin[k] : begin[k] + size[k]].tolist()), np.uint32)
+            found.append((np.full(len(ids), k), np.arange(len(ids)), ids))
+        return [(word[lane], end, ids) for lane, end, ids in found]
+
+    def _step(self, last: np.ndarray, back: np.ndarray, symbol: np.ndarray, col: int, live: int, shift: int) -> None:
+        """Find the last token of the prefixes that end at col, shortest candidates first."""
+        lane, node = np.arange(live), np.zeros(live, np.int64)
+        for n in range(1, min(self.lookahead, col) + 1):
+            node = self.trie.get(node * self.symbols + symbol[col - n + 1, lane])
+            go = node >= 0
+            if not go.all():
+                lane, node = lane[go], node[go]
+            if not len(lane):
+                return
+            t = self.token_at[node]
+            some = np.nonzero(t >= 0)[0]
+            t, which = t[some], lane[some]
+            before = last[col - n, which]
+            good = before < 0 if shift + col == n else np.zeros(len(some), bool)
+            check = np.nonzero(~good & (before >= 0))[0]
+            good[check] = self.fit(before[check], t[check])
+            hit = which[good]
+            last[col, hit], back[col, hit] = t[good], col - n
+            stay = np.ones(len(lane), bool)
+            stay[some[good]] = False
+            lane, node = lane[stay], node[stay].astype(np.int64)
+
+    def _settle(self, last, back, root, solo, live: int, emit) -> None:
+        """Emit what all live prefixes share; lanes where that lies too far back go on alone."""
+        col = len(last) - 1
+        mark = np.zeros((col + 1, live), bool)
+        mark[col - self.lookahead + 1 :] = True
+        count = np.full(live, self.lookahead)
+        for c in range(col, 0, -1):
+            on = np.nonzero(mark[c] & (count > 1))[0]
+            mark[c, on] = False
+            to = back[c, on]
+            count[on] -= mark[to, on]
+            mark[to, on] = True
+        end = mark.argmax(0)
+        solo[:live] |= end < col - 2 * self.lookahead
+        emit(np.arange(live), end)
+        root[:live] = end
+
+
+class Decoder:
+    """Bytes to text as they come: what doesn't end a character yet is held back.
+
+    pieces has the bytes of each id, and between goes between two ids. Constant memory.
+    """
+
+    def __init__(self, pieces: dict[int, bytes], between: bytes = b""):
+        self.pieces, self.between = pieces, between
+        self.held, self.begun = b"", False
+
+    def feed(self, ids: Iterable[int]) -> str:
+        made = self.between.join(map(self.pieces.__getitem__, ids))
+        if not made:
+            return ""
+        data = self.held + (self.between + made if self.begun else made)
+        self.begun = True
+        good = len(data)
+        for k in range(1, min(4, good) + 1):
+            lead = data[-k]
+            if lead & 0xC0 != 0x80:  # the byte that begins the last character
+                need = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                good -= k if need > k else 0
+                break
+        self.held = data[good:]
+        return data[:good].decode("utf-8", "replace")
 
-    def _settle(self, live: deque, emitted: int) -> int:
-        """Cut the path below what has been emitted, so that its nodes can be freed."""
-        node = self._common(live)
-        if node[2] <= emitted:
-            return emitted
-        cut = (None, node[1], node[2])
-        moved = {id(node): cut}
-
-        def again(x):
-            chain = []
-            while id(x) not in moved:
-                chain.append(x)
-                x = x[0]
-            new = moved[id(x)]
-            for y in reversed(chain):
-                new = (new, y[1], y[2])
-                moved[id(y)] = new
-            return new
-
-        kept = [None if x is None else again(x) for x in live]
-        live.clear()
-        live.extend(kept)
-        return node[2]
+    def close(self) -> str:
+        held, self.held, self.begun = self.held, b"", False
+        return held.decode("utf-8", "replace")
 
 
 class Codec:
-    """Reads a tokenizer file; encodes and decodes whole texts."""
+    """Reads a tokenizer file; encodes and decodes whole texts, any number of them at once.
 
-    def __init__(self, path: str, most_chunks: int = 150_000):
+    Characters from U+0300 on take their lower case, composition and class from the tables of the
+    tokenizers library, as Python's may be of another version of Unicode; below it they agree.
+    """
+
+    #: White space of the vocabulary's pattern that str.split() would see otherwise.
+    ODD = re.compile("[\x1c-\x1f]")
+    SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    PLAIN = re.compile("[\x00-\u02ff]*")
+
+    def __init__(self, path: str, most_words: int = 300_000, most_chunks: int = 300_000, slice_chars: int = 2_000_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.vocab = model["vocab"]
-        self.transducer = Transducer(self.vocab, merges, self.suffix)
+        self.transducer = Transducer(model["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token_of = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         names = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.cut_special = re.compile(f"({names})") if names else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern)
+        self.words = regex.compile(pattern + "|\n")
+        library = tokenizers.Tokenizer.from_file(path)
+        self.normalizer, self.cutter = library.normalizer, library.pre_tokenizer
         self.letters = byte_letters()
-        rank = self.transducer.rank
-        self.mid = [rank[c] for c in self.letters]
-        self.end = [rank[c + self.suffix] for c in self.letters]
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
-        self.most_chunks = most_chunks
-        self.done: dict[str, tuple[bytes, bytes]] = {}
-        self.done_words: dict[str, list[int]] = {}
-
-    #: White space of the vocabulary's pattern that str.split() would see otherwise.
-    ODD = re.compile("[\x1c-\x1f]")
-    SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
-    def symbols(self, word: str) -> Iterator[int]:
-        data = word.encode("utf-8", "surrogatepass")
-        for b in data[:-1]:
-            yield self.mid[b]
-        yield self.end[data[-1]]
-
-    def word_ids(self, word: str) -> list[int]:
-        if len(word) > 8 * self.transducer.lookahead:
-            return list(self.transducer.stream(self.symbols(word)))
-        data = word.encode("utf-8", "surrogatepass")
-        if len(data) > self.transducer.lookahead:
-            return list(self.transducer.stream(self.symbols(word)))
-        mid = self.mid
-        symbols = [mid[b] for b in data]
-        symbols[-1] = self.end[data[-1]]
-        ids = self.transducer.short(symbols)
-        if len(self.done_words) >= self.most_chunks:
-            self.done_words.clear()
-        self.done_words[word] = ids
-        return ids
-
-    def chunk_ids(self, chunk: str) -> list[int]:
-        if chunk.isascii() and chunk.isalpha():
-            low = chunk.lower()
-            return self.done_words.get(low) or self.word_ids(low)
-        out: list[int] = []
-        for piece in self.cut_special.split(chunk) if self.cut_special else [chunk]:
-            if piece in self.special:
-                out.append(self.special[piece])
-            elif piece:
-                plain = unicodedata.normalize("NFC", piece)
-                plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
-                for w in self.words.findall(plain):
-                    out.extend(self.done_words.get(w) or self.word_ids(w))
-        return out
-
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = self.chunk_ids(chunk)
-        made = struct.pack(f"<{len(ids)}I", *ids), " ".join(self.token_of[i] for i in ids).encode()
-        if len(self.done) >= self.most_chunks:
-            self.done.clear()
-        if len(chunk) <= 64:
-            self.done[chunk] = made
-        return made
+        born = self.transducer.born
+        self.mid = np.array([born[c] for c in self.letters])
+        self.end = np.array([born[c + self.suffix] for c in self.letters])
+        self.spelled = {i: t.encode() for i, t in self.token_of.items()}
+        #: Words that are never encoded: special tokens, and the line end that parts chunks.
+        self.fixed = {t: struct.pack("<I", i) for t, i in self.special.items()} | {"\n": b""}
+        self.most_words, self.most_chunks, self.slice_chars = most_words, most_chunks, slice_chars
+        self.forget()
 
     def forget(self) -> None:
-        """Drop what was kept of finished chunks; the vocabulary stays."""
-        self.done.clear()
-        self.done_words.clear()
-        self.transducer.fits_memo.clear()
+        """Drop what was kept of finished words and chunks; the vocabulary stays."""
+        self.done_words, self.done = dict(self.fixed), {}
+
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words one after the other, and each word's number of them; no word is empty."""
+        data = [w.encode() for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        out, last = self.mid[flat], np.cumsum(size) - 1
+        out[last] = self.end[flat[last]]
+        return out, size
+
+    def slices(self, text: str) -> Iterator[str]:
+        """Parts of bounded length, cut at white space; only a longer chunk makes a longer part."""
+        at = 0
+        while len(text) - at > self.slice_chars:
+            cut = self.SPACE.search(text, at + self.slice_chars)
+            if cut is None:
+                break
+            yield text[at : cut.start()]
+            at = cut.end()
+        yield text[at:]
 
     def chunks(self, text: str) -> list[str]:
-        return self.SPACE.split(text) if self.ODD.search(text) else text.split()
-
-    def encode_and_decode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        get, make = self.done.get, self._chunk
-        made = [get(c) or make(c) for c in self.chunks(text or "") if c]
-        return b"".join([m[0] for m in made]), b" ".join([m[1] for m in made])
+        return [c for c in self.SPACE.split(text) if c] if self.ODD.search(text) else text.split()
+
+    def pieces(self, chunks: list[str]) -> tuple[list[str], list[str]]:
+        """The chunks in another order, and their normalised words, with a line end after each chunk."""
+        plain, other, words = [], [], []
+        for c in chunks:
+            (plain if c.isascii() or self.PLAIN.fullmatch(c) else other).append(c)
+        if self.cut_special and "<|" in (text := "\n".join(plain)) and self.cut_special.search(text):
+            other += [c for c in plain if self.cut_special.search(c)]
+            plain = [c for c in plain if not self.cut_special.search(c)]
+        if plain:
+            words = self.words.findall("\n".join(plain).lower())
+            words.append("\n")
+        for c in other:
+            for part in self.cut_special.split(c) if self.cut_special else [c]:
+                if part in self.special:
+                    words.append(part)
+                elif part:
+                    cut = self.cutter.pre_tokenize_str(self.normalizer.normalize_str(part))
+                    words += [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in cut]
+            words.append("\n")
+        return plain + other, words
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks that are not known yet, all their words side by side."""
+        chunks, words = self.pieces(chunks)
+        known = self.done_words
+        fresh = list(set(words).difference(known))
+        if fresh:
+            ids, size = self.transducer.lanes(*self.symbols(fresh))
+            raw, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
+            known.update(zip(fresh, [raw[a:b] for a, b in zip([0, *end], end)]))
+        made = list(map(known.__getitem__, words))
+        raw, end = b"".join(made), np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+        end = end[[w == "\n" for w in words]].tolist()
+        self.done.update(zip(chunks, [raw[a:b] for a, b in zip([0, *end], end)]))
+
+    def _make_room(self) -> None:
+        if len(self.done_words) > self.most_words:
+            self.done_words = self.fixed | dict(islice(self.done_words.items(), len(self.done_words) - self.most_words // 2, None))
+        if len(self.done) > self.most_chunks:
+            self.done = dict(islice(self.done.items(), len(self.done) - self.most_chunks // 2, None))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """(place of the text, ids as little-endian unsigned 32-bit integers), text by text and part by part."""
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for part in self.slices(text):
+                held.append((k, self.chunks(part)))
+                size += len(part)
+                if size >= self.slice_chars:
+                    yield from self._encode(held)
+                    held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
+        fresh = set().union(*[c for _, c in held]).difference(self.done)
+        if fresh:
+            self.learn(list(fresh))
+        for k, chunks in held:
+            yield k, b"".join(map(self.done.__getitem__, chunks))
+        self._make_room()
 
     def encode(self, text: str | None) -> list[int]:
-        data, _ = self.encode_and_decode(text)
-        return list(struct.unpack(f"<{len(data) // 4}I", data))
+        data = b"".join([ids for _, ids in self.encode_all([text or ""])])
+        return np.frombuffer(data, "<u4").tolist()
+
+    def decoder(self, readable: bool = False) -> Decoder:
+        """The state machine from ids to text.
+
+        The vocabulary names no decoder, so that plain decoding spells tokens with spaces between;
+        with readable, bytes that tokens stand for come out, and a space for each end of a word.
+        """
+        if not readable:
+            return Decoder(self.spelled, b" ")
+        body = lambda t: bytes(self.byte_of[c] for c in t.removesuffix(self.suffix) if c in self.byte_of)
+        plain = {i: t.encode() if t in self.special else body(t) + b" " * (bool(self.suffix) and t.endswith(self.suffix)) for i, t in self.token_of.items()}
+        return Decoder(plain)
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The tokens' own spelling with spaces between, as the vocabulary names no decoder."""
-        return " ".join(self.token_of[i] for i in ids if i in self.token_of)
-
-    def readable(self, ids: Iterable[int]) -> Iterator[str]:
-        """Plain text piece by piece: bytes are held back until they end a character."""
-        held = b""
-        for i in ids:
-            token = self.token_of.get(i, "")
-            if token in self.special:
-                yield (held.decode("utf-8", "replace") if held else "") + token
-                held = b""
-                continue
-            stop = bool(self.suffix) and token.endswith(self.suffix)
-            body = token[: -len(self.suffix)] if stop else token
-            held += bytes(self.byte_of[c] for c in body if c in self.byte_of)
-            good = len(held)
-            for back in range(1, min(4, len(held)) + 1):
-                lead = held[-back]
-                if lead & 0xC0 != 0x80:
-                    need = 1 if lead < 0x80 else 2 if lead >> 5 == 6 else 3 if lead >> 4 == 14 else 4
-                    good = len(held) - back if need > back else len(held)
-                    break
-            out, held = held[:good].decode("utf-8", "replace"), held[good:]
-            if stop:
-                out += (held.decode("utf-8", "replace") if held else "") + " "
-                held = b""
-            if out:
-                yield out
-        if held:
-            yield held.decode("utf-8", "replace")
+        """The whole text of ids; those that name no token are left out."""
+        machine = self.decoder()
+        return machine.feed([i for i in ids if i in self.spelled]) + machine.close()
 
 
 _CODECS: dict[str, Codec] = {}
@@ -366,19 +535,29 @@ def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool
     token_ids holds the ids as little-endian unsigned 32-bit integers.
 
     Defined cases: a null text counts as empty, an empty text has no tokens and the digests of
-    nothing; repeated rows give repeated results; columns of these names are replaced.
+    nothing; a very long text is encoded and decoded part by part; repeated rows give repeated
+    results; columns of these names are replaced.
     """
 
     def run(pdf):
         c = codec(path)
-        n, ids, plain, every = [], [], [], []
-        for t in pdf[text]:
-            a, b = c.encode_and_decode(t if isinstance(t, str) else "")
-            n.append(len(a) // 4)
-            ids.append(hashlib.sha256(a).hexdigest())
-            plain.append(hashlib.sha256(b).hexdigest())
+        texts = [t if isinstance(t, str) else "" for t in pdf[text]]
+        n, digests, plain = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+        every: list[list[bytes]] = [[] for _ in texts]
+        machine, was = c.decoder(), 0
+        for k, ids in c.encode_all(texts):
+            if k != was:
+                plain[was].update(machine.close().encode())
+                was = k
+            n[k] += len(ids) // 4
+            digests[k].update(ids)
+            plain[k].update(machine.feed(struct.unpack(f"<{len(ids) // 4}I", ids)).encode())
             if with_ids:
-                every.append(a)
-        return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": plain} | ({"token_ids": every} if with_ids else {})
-
-    return widen(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else ""), lambda: codec(path).forget(), () if keep_text else (text,))
+                every[k].append(ids)
+        if texts:
+            plain[was].update(machine.close().encode())
+        out = {"n_tokens": n, "ids_sha256": [d.hexdigest() for d in digests], "decoded_sha256": [d.hexdigest() for d in plain]}
+        return out | ({"token_ids": [b"".join(e) for e in every]} if with_ids else {})
+
+    extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else "")
+    return widen(docs, run, extra, None, () if keep_text else (text,))

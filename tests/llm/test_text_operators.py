@@ -5,6 +5,7 @@ import random
 import struct
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
@@ -90,17 +91,64 @@ def test_bpe_matches_the_library():
         assert own.decode(ids) == ref.decode(ids, skip_special_tokens=False)
 
 
-def test_stream_keeps_constant_memory_and_agrees_with_short_words():
+def test_every_code_point_encodes_as_in_the_library():
+    ref, own = reference(), bpe.codec(PATH)
+    every = [chr(k) for k in range(0x30000) if not 0xD800 <= k < 0xE000]
+    for at in range(0, len(every), 1500):
+        part = every[at : at + 1500]
+        for text in (" ".join(part), " ".join(f"a{c}B" for c in part)):
+            assert own.encode(text) == ref.encode(text, add_special_tokens=False).ids, hex(at)
+    rng = random.Random(2)
+    marks = [chr(k) for k in (*range(0x300, 0x370), *range(0x591, 0x5C8), *range(0x10F46, 0x10F51), 0x3099, 0x1D165)]
+    for _ in range(300):
+        text = "".join(rng.choice("aeoUΣσςİ ガカ한ᄒ") + "".join(rng.choices(marks, k=rng.randrange(4))) for _ in range(12))
+        assert own.encode(text) == ref.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_lanes_and_single_words_agree():
     t = bpe.codec(PATH).transducer
     rng = random.Random(5)
-    for _ in range(300):
-        symbols = [rng.randrange(0, 256) for _ in range(rng.randrange(1, t.lookahead))]
-        assert list(t.stream(symbols)) == t.short(symbols)
+    pools = [range(256), range(64, 90), range(64, 67), [64]]
+    words = [[rng.choice(pool) for _ in range(rng.choice((1, 3, 9, 40, 700)))] for pool in pools for _ in range(60)]
+    ids, size = t.lanes(np.array([x for w in words for x in w]), np.array([len(w) for w in words]), room=3)
+    ends = np.cumsum(size)
+    for w, b, e in zip(words, ends - size, ends):
+        assert ids[b:e].tolist() == list(t.stream(w))
+
+
+def test_stream_emits_before_the_word_ends_and_holds_little():
+    t = bpe.codec(PATH).transducer
+    seen = 0
+
+    def endless():
+        nonlocal seen
+        for k in range(100_000):
+            seen += 1
+            yield 64 + k * k % 26
+
+    out = t.stream(endless())
+    for n in range(1, 2000):
+        next(out)
+        assert seen <= 40 * n + 8 * t.lookahead
+
+
+def test_tables_that_lose_their_older_half_change_nothing():
+    small, big = bpe.Codec(PATH, most_words=50, most_chunks=50, slice_chars=200), bpe.codec(PATH)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdé!") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(120))) for _ in range(60)]
+    got = [[] for _ in texts]
+    for k, ids in small.encode_all(texts):
+        got[k] += np.frombuffer(ids, "<u4").tolist()
+    assert got == [big.encode(x) for x in texts]
 
 
-def test_readable_text_comes_back():
+def test_decoder_gives_text_as_bytes_come():
     own = bpe.codec(PATH)
-    assert "".join(own.readable(own.encode("smile 😀 naïve"))).strip() == "smile 😀 naïve"
+    ids = own.encode("smile 😀 naïve <|endoftext|> 日本")
+    for readable, want in ((True, "smile 😀 naïve <|endoftext|>日本 "), (False, reference().decode(ids, skip_special_tokens=False))):
+        machine = own.decoder(readable)
+        assert "".join([machine.feed([i]) for i in ids]) + machine.close() == want
+        assert machine.feed(ids) + machine.close() == want
 
 
 def test_encode_frame_on_odd_rows(spark):
@@ -112,6 +160,7 @@ def test_encode_frame_on_odd_rows(spark):
         ids = ref.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and bytes(r["token_ids"]) == struct.pack(f"<{len(ids)}I", *ids)
         assert r["ids_sha256"] == hashlib.sha256(r["token_ids"]).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(ref.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_frame(empty(spark), PATH).count() == 0
 
 
