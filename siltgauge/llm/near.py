@@ -1,12 +1,16 @@
-"""Near duplicates by exact Jaccard similarity of word shingles: five words and 0.8 by default.
-
-Texts are sets of hashed shingles. All sets are sorted by one order, and of a set of n shingles the
-first n - ceil(0.8 n) + 1 are its keys: two sets of similarity 0.8 share a key, whatever the order.
-So no pair is missed, and each that meets is verified on whole sets. Shingles that a sample of
-documents has often come last in the order, which changes the work but never the pairs found.
-
-Equal sets are first made one. Those of a key are linked to its first set; then only sets of a key
-that are still unconnected are paired off.
+"""Near duplicates by Jaccard similarity of word shingles: five words and 0.8 by default.
+
+Texts are sets of hashed shingles, and equal sets are first made one. Two ways bring sets together.
+SimHash fingerprints of the sets meet by their Golay keys, which catches most near copies at a small
+cost. What few bits don't reach meets by shingles: all sets are sorted by one order, and of a set of
+n shingles the first n - ceil(0.8 n) + 1 are its keys: two sets of similarity 0.8 share a key,
+whatever the order. So no pair is missed. Shingles that a sample of documents has often come last in
+the order, which changes the work but never the pairs found.
+
+Pairs that meet are held against each other by sketches, counts of shingles in buckets of the hash
+range: the sum of the lesser counts is at least the number of shared shingles. Pairs for which that
+leaves room are verified on whole sets. Sets of a key are linked to its first set; then only sets of
+a key that are still unconnected are paired off.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_or_null, components, durable, tidy
-from .simhash import surviving
+from .simhash import near_links, surviving, vote
 
 #: Similarity as a fraction of whole numbers, so that limits are exact.
 NUM, DEN = 4, 5
@@ -48,6 +52,23 @@ def keys_of(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return hashes[: n - -(-NUM * n // DEN) + 1]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """Numbers of hashes in equal parts of the hash range, about as many as hashes, 255 for more."""
+    bits = max(6, len(hashes).bit_length() - 1)
+    part = (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_share(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Whether sketches leave room for the similarity of sets of n and m shingles; never wrongly False."""
+    x, y = (np.frombuffer(k, np.uint8).astype(np.int64) for k in (a, b))
+    if x.max(initial=0) == 255 or y.max(initial=0) == 255:
+        return True
+    few = min(len(x), len(y))
+    x, y = x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)
+    return (NUM + DEN) * int(np.minimum(x, y).sum()) >= NUM * (n + m)
+
+
 def _slim(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, text, "string").alias("text"))
 
@@ -67,7 +88,7 @@ def common_shingles(slim: DataFrame, words: int, every: int = 16, least: int = 3
 
 
 def _sets(slim: DataFrame, words: int, common: np.ndarray) -> DataFrame:
-    """(s, n, keys, who): every different set's digest, size and keys and its first document."""
+    """(s, n, keys, fp, sketch, who): every different set's digest, size, keys, fingerprint and sketch and its first document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -75,22 +96,42 @@ def _sets(slim: DataFrame, words: int, common: np.ndarray) -> DataFrame:
                 part = pdf.iloc[at : at + 1000]
                 sets = [shingle_hashes(t, words) for t in part["text"]]
                 digests = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "t": part["t"].array, "s": digests, "n": [len(x) for x in sets], "keys": [keys_of(x, common) for x in sets]})
+                fp = np.array([vote(x.view(np.uint64)) for x in sets], np.uint64).view(np.int64)
+                known = {"doc_id": part["doc_id"].astype("Int64").array, "t": part["t"].array, "s": digests, "n": [len(x) for x in sets]}
+                yield pd.DataFrame(known | {"keys": [keys_of(x, common) for x in sets], "fp": fp, "sketch": [sketch_of(x) for x in sets]})
 
-    rows = slim.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInPandas(tidy(run), "doc_id long, t long, s long, n int, keys array<long>")
+    shape = "doc_id long, t long, s long, n int, keys array<long>, fp long, sketch binary"
+    rows = slim.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInPandas(tidy(run), shape)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), "t")).alias("who")
-    return rows.groupBy("s").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), first)
+    return rows.groupBy("s").agg(*[F.first(c).alias(c) for c in ("n", "keys", "fp", "sketch")], first)
+
+
+def _size_at(c: str):
+    """Size of a set and place of its key, from the one number that holds both."""
+    return F.shiftright(c, 32), F.col(c).bitwiseAND(2**32 - 1)
 
 
 def _may_link(a: str, b: str):
-    """Sizes and places (n, at) of a shared key leave room for the similarity.
+    """Sizes and places of a shared key leave room for the similarity.
 
     Where a key is not the first that two sets share this may say no, but then their first says yes.
     """
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
+    (n, i), (m, j) = _size_at(a), _size_at(b)
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((NUM + DEN) * F.least(n - i, m - j) >= NUM * (n + m))
 
 
+def _promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set digests whose sketches leave room for the similarity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [may_share(*x) for x in zip(pdf["ka"], pdf["kb"], pdf["na"].tolist(), pdf["nb"].tolist())]
+            yield pdf.loc[ok, ["a", "b"]]
+
+    side = lambda x: sets.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, slim: DataFrame, sets: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of set digests whose sets are as similar as asked for."""
 
@@ -112,18 +153,24 @@ def _verified(pairs: DataFrame, slim: DataFrame, sets: DataFrame, words: int) ->
 
 def _groups(slim: DataFrame, sets: DataFrame, words: int) -> DataFrame:
     """(s, component) of every set that is linked to another."""
-    keyed = sets.select("s", "n", F.posexplode("keys").alias("at", "key"))
+    keyed = sets.select("s", "n", F.posexplode("keys").alias("at", "key")).select("key", "s", F.expr("shiftleft(CAST(n AS BIGINT), 32) + at").alias("na"))
     w = Window.partitionBy("key")
-    met = keyed.select("key", F.struct("s", "n", "at").alias("x"))
-    met = met.withColumns({"first": F.min("x").over(w), "m": F.count(F.lit(1)).over(w)}).where("m > 1").drop("m")
-    met = durable(met)
-    stars = durable(met.where("x.s <> first.s").where(_may_link("first", "x")).select(F.col("first.s").alias("a"), F.col("x.s").alias("b")).distinct())
-    comp = components(durable(_verified(stars, slim, sets, words)))
+    met = keyed.withColumns({"first": F.min(F.struct("s", "na")).over(w), "m": F.count(F.lit(1)).over(w)}).where("m > 1")
+    met = durable(met.select("key", "s", "na", F.col("first.s").alias("fs"), F.col("first.na").alias("fna")))
+    stars = met.where("s <> fs").where(_may_link("fna", "na")).select(F.col("fs").alias("a"), F.col("s").alias("b"))
+    # sets of fingerprints within four bits, by Golay keys, and of equal ones
+    head = durable(sets.groupBy("fp").agg(F.min("s").alias("h")))
+    links = near_links(head.select("fp"))
+    side = lambda x: head.select(F.col("fp").alias(x), F.col("h").alias(f"h{x}"))
+    alike = links.join(side("a"), "a").join(side("b"), "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    alike = alike.union(sets.join(head, "fp").where("s <> h").select(F.col("h").alias("a"), F.col("s").alias("b")))
+    stars = durable(stars.union(alike).distinct())
+    comp = components(durable(_verified(durable(_promising(stars, sets)), slim, sets, words)))
     comp = durable(comp)
-    named = met.select("key", "x", F.col("x.s").alias("s")).join(comp.withColumnRenamed("node", "s"), "s", "left").select("key", "x", F.coalesce("component", "s").alias("c"))
-    rest = named.select("key", F.col("x").alias("p"), F.col("c").alias("pc")).join(named.select("key", F.col("x").alias("q"), F.col("c").alias("qc")), "key")
-    rest = rest.where("p.s < q.s AND pc <> qc").where(_may_link("p", "q")).select(F.col("p.s").alias("a"), F.col("q.s").alias("b")).distinct()
-    rest = durable(rest.join(stars, ["a", "b"], "left_anti"))
+    named = met.select("key", "s", "na").join(comp.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "na", F.coalesce("component", "s").alias("c"))
+    other = named.select("key", F.col("s").alias("q"), F.col("na").alias("qna"), F.col("c").alias("qc"))
+    rest = named.join(other, "key").where("s < q AND c <> qc").where(_may_link("na", "qna")).select(F.col("s").alias("a"), F.col("q").alias("b")).distinct()
+    rest = durable(_promising(rest.join(stars, ["a", "b"], "left_anti"), sets))
     more = _verified(rest, slim, sets, words)
     label = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -43,12 +43,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         begins = np.concatenate(([0], ends[:-1]))[: len(parts) - words + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(data[b:e], seed) for b, e in zip(begins, (ends[words - 1 :] - 1).tolist())]
+    return vote(np.array(hashes, np.uint64))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits that over half of the unsigned 64-bit hashes have; hashes go in parts of bounded size."""
     bits = np.zeros(64, np.int64)
-    every = np.array(hashes, np.uint64)
-    for k in range(0, len(every), 8192):
-        part = every[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
+    for k in range(0, len(hashes), 8192):
+        part = hashes[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(every), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
 @lru_cache(1)

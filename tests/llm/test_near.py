@@ -83,3 +83,21 @@ def test_similar_sets_share_a_key_in_any_order():
         assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
         common = np.sort(rng.permutation(np.union1d(a, b))[: n // 2])
         assert len(np.intersect1d(near.keys_of(a, common), near.keys_of(b, common)))
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 20, 63, 64, 65, 500, 1023, 1025, 5000):
+        base = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        for k in range(30):
+            drop = rng.random(len(base)) < rng.random() * 0.3
+            other = np.unique(np.concatenate([base[~drop], rng.integers(-(2**63), 2**63 - 1, int(drop.sum() * rng.random()))]))
+            if not len(other):
+                continue
+            shared = len(np.intersect1d(base, other))
+            if 9 * shared >= 4 * (len(base) + len(other)):
+                assert near.may_share(near.sketch_of(base), near.sketch_of(other), len(base), len(other))
+    far = [np.unique(rng.integers(-(2**63), 2**63 - 1, 400)) for _ in range(20)]
+    assert not any(near.may_share(near.sketch_of(a), near.sketch_of(b), len(a), len(b)) for a in far for b in far if a is not b)
+    same = np.arange(1000)  # all in one bucket, more than a byte counts
+    assert near.may_share(near.sketch_of(same), near.sketch_of(same), 1000, 1000)
