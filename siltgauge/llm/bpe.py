@@ -24,6 +24,7 @@ import re
 import struct
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -31,7 +32,7 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-from .common import widen
+from .common import Table, widen
 
 NEVER = np.iinfo(np.int32).max
 
@@ -44,44 +45,6 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class Table:
-    """Open addressing over arrays: whole numbers to whole numbers, -1 where a key is absent."""
-
-    MIX = np.uint64(0x9E3779B97F4A7C15)
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(4 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.keys[slot] < 0
-            _, first = np.unique(slot[free], return_index=True)
-            lucky = np.nonzero(free)[0][first]
-            self.keys[slot[lucky]], self.values[slot[lucky]] = keys[left[lucky]], values[left[lucky]]
-            stay = np.ones(len(left), bool)
-            stay[lucky] = False
-            left, slot = left[stay], slot[stay] + 1 & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * self.MIX >> self.shift).view(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        found = self.keys[slot]
-        same = found == keys
-        out = np.where(same, self.values[slot], -1)
-        left = np.nonzero(~same & (found >= 0))[0]
-        while len(left):
-            slot = slot[left] + 1 & self.mask if len(slot) == len(keys) else slot + 1 & self.mask
-            found = self.keys[slot]
-            same = found == keys[left]
-            out[left[same]] = self.values[slot[same]]
-            go = ~same & (found >= 0)
-            left, slot = left[go], slot[go]
-        return out
-
-
 class Transducer:
     """Encodes words symbol by symbol; memory is bounded by the lookahead, not by the word.
 
@@ -110,7 +73,6 @@ class Transducer:
         merged = np.arange(self.symbols, n)
         keys = self.left[merged].astype(np.int64) * n + self.right[merged]
         self.pairs = Table(keys, merged)
-        self.pair_of = dict(zip(keys.tolist(), merged.tolist()))
         self.reachable = self._reachable(merged)
         self._spell()
         self.alone: dict[int, bool] = {}
@@ -150,7 +112,15 @@ class Transducer:
             total += len(made)
         keys, kids = np.concatenate(keys), np.concatenate(kids)
         self.trie, self.token_at = Table(keys, kids), np.concatenate(token)
-        self.kid_of, self.token_list = dict(zip(keys.tolist(), kids.tolist())), self.token_at.tolist()
+
+    @cached_property
+    def kid_of(self) -> dict[int, int]:
+        """The trie as a dict, for words that stream alone; built when the first comes."""
+        return self.trie.items()
+
+    @cached_property
+    def pair_of(self) -> dict[int, int]:
+        return self.pairs.items()
 
     def fit(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """Whether tokens a and b may stand side by side (until some time, if given).
@@ -211,7 +181,7 @@ class Transducer:
                 back -= 1
                 if node is None or back < done:
                     break
-                t = self.token_list[node]
+                t = int(self.token_at[node])
                 if t >= 0 and back in ends and (ends[back][0] < 0 or self.fits(ends[back][0], t)):
                     ends[at] = (t, back)
                     break
@@ -411,6 +381,7 @@ class Codec:
     def forget(self) -> None:
         """Drop what was kept of finished words and chunks; the vocabulary stays."""
         self.done_words, self.done = dict(self.fixed), {}
+        self.transducer.alone.clear()
 
     def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words one after the other, and each word's number of them; no word is empty."""
@@ -560,4 +531,5 @@ def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool
         return out | ({"token_ids": [b"".join(e) for e in every]} if with_ids else {})
 
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else "")
-    return widen(docs, run, extra, None, () if keep_text else (text,))
+    # a worker lives on in other operators, so a task gives its tables of finished words back
+    return widen(docs, run, extra, lambda: codec(path).forget(), () if keep_text else (text,))

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,9 @@ def _folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:  # only where the setting is unset, as in local tests
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not base:  # one machine, as in tests
             base = tempfile.mkdtemp(prefix="shared-")
         _FOLDERS[app] = (spark, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}")
     return _FOLDERS[app][1]
@@ -89,6 +92,49 @@ def widen(df: DataFrame, fn: Callable, extra: str, last: Callable | None = None,
     return base.mapInPandas(tidy(run, last), schema)
 
 
+class Table:
+    """Open addressing over arrays: whole numbers to whole numbers, -1 where a key is absent."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            lucky = np.nonzero(free)[0][first]
+            self.keys[slot[lucky]], self.values[slot[lucky]] = keys[left[lucky]], values[left[lucky]]
+            stay = np.ones(len(left), bool)
+            stay[lucky] = False
+            left, slot = left[stay], slot[stay] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * self.MIX >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        same = found == keys
+        out = np.where(same, self.values[slot], -1)
+        left = np.nonzero(~same & (found >= 0))[0]
+        while len(left):
+            slot = slot[left] + 1 & self.mask if len(slot) == len(keys) else slot + 1 & self.mask
+            found = self.keys[slot]
+            same = found == keys[left]
+            out[left[same]] = self.values[slot[same]]
+            go = ~same & (found >= 0)
+            left, slot = left[go], slot[go]
+        return out
+
+
+    def items(self) -> dict[int, int]:
+        some = self.keys >= 0
+        return dict(zip(self.keys[some].tolist(), self.values[some].tolist()))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
     """(node, component): the smallest node that each node of an undirected edge list reaches.
 
