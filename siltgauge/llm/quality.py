@@ -1,9 +1,10 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view is a logistic model over binned features, so that a feature can be bad at both ends.
-In each round either model labels the unlabelled rows of which it is surest, some of each class,
-for the other. Both are then calibrated on labelled rows that taught neither, and a small
-logistic model combines the calibrated views into the score of every document.
+Each view is a logistic model over binned features, so that a feature can be bad at both ends. The
+text view sees the text alone, the metadata view only what documents say beside it. In each round
+either model scores all unlabelled documents and lends the other those of which it is surest, some
+of each class. Then each view is calibrated by itself on labelled rows that taught neither, and a
+small logistic model combines the calibrated views into the score of every document.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null
+from .common import column_or_null, durable
 from .langid import held_out
 from .toxicity import labelled_sample, logistic
 
-TEXT_NAMES = ("letters", "upper", "digits", "symbols", "unique", "commonest", "repeated_lines", "word_length", "sentence_ends")
-META_NAMES = ("log_chars", "log_lines", "line_length", "bytes_per_char", "source", "lang")
+TEXT_NAMES = (
+    "letters", "upper", "digits", "symbols", "unique", "commonest", "repeated_lines", "word_length", "sentence_ends",
+    "log_lines", "line_length", "bytes_per_char",
+)
+META_NAMES = ("log_chars", "source", "lang")
 HASHED = 32  # classes that a source or language is hashed to
 BINS = 12
 
@@ -50,18 +54,19 @@ def text_view(text: str) -> list[float]:
     counts = Counter(words)
     w = max(1, len(words))
     lines = [x for x in text.split("\n") if x.strip()]
+    n_lines = text.count("\n") + 1
     ends = text.count(".") + text.count("!") + text.count("?")
     # shares over all words fall with length, as words repeat; Guiraud's root keeps them comparable
     return [
         float(kinds[1] + kinds[2]) / n, float(kinds[2]) / n, float(kinds[3]) / n, float(kinds[4]) / n, len(counts) / w**0.85,
         max(counts.values(), default=0) / w, 1 - len(set(lines)) / max(1, len(lines)), n / w, ends / w,
+        float(np.log1p(n_lines)), len(text) / n_lines, len(text.encode("utf-8", "replace")) / n,
     ]
 
 
-def meta_view(n_chars: int, n_lines: int, n_bytes: int, source: str | None, lang: str | None) -> list[float]:
+def meta_view(n_chars: int, source: str | None, lang: str | None) -> list[float]:
     code = lambda x: float(zlib.crc32((x or "").encode("utf-8", "replace")) % HASHED)
-    n = max(1, n_chars)
-    return [float(np.log1p(n_chars)), float(np.log1p(n_lines)), n_chars / max(1, n_lines), n_bytes / n, code(source), code(lang)]
+    return [float(np.log1p(max(0, n_chars))), code(source), code(lang)]
 
 
 class View:
@@ -94,104 +99,135 @@ class View:
 
 
 class CoModel:
-    """Two views and what combines them; without both classes every score is 0.5."""
+    """Two views, the calibration of each, and what combines them; without both classes every score is 0.5."""
 
     def __init__(self):
-        self.text, self.meta = View(0), View(2)
+        self.views = {"text": View(0), "meta": View(2)}
+        self.lines: dict[str, np.ndarray] = {}
         self.stack: np.ndarray | None = None
         self.taught: list[tuple[int, int]] = []
 
-    def fit(self, xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.9) -> None:
-        """Labelled rows, then unlabelled rows, both in both views; every fifth labelled row calibrates."""
-        if not 0 < y.sum() < len(y):
-            return
-        held = np.arange(len(y)) % 5 == 4
-        if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
-            held = np.zeros(len(y), bool)
-        self.text.cut(np.concatenate([xt, ut]))
-        self.meta.cut(np.concatenate([xm, um]))
-        sides = {"text": (self.text, xt[~held], ut), "meta": (self.meta, xm[~held], um)}
-        lent: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-        base = y[~held]
-
-        def teach(name):
-            view, x, u = sides[name]
-            rows = list(lent[name])
-            view.fit(np.concatenate([x, u[rows]]), np.concatenate([base, [lent[name][r] for r in rows]]), np.concatenate([np.ones(len(base)), np.full(len(rows), 0.3)]))
-
-        teach("text")
-        teach("meta")
-        for _ in range(rounds):
-            added = []
-            for name, other in (("text", "meta"), ("meta", "text")):
-                p = 1 / (1 + np.exp(-np.clip(sides[name][0].margin(sides[name][2]), -30, 30)))
-                each = max(1, int(share * len(p)))
-                order = np.argsort(p, kind="stable")
-                picks = [(int(r), 0.0) for r in order[:each] if p[r] <= 1 - sure] + [(int(r), 1.0) for r in order[::-1][:each] if p[r] >= sure]
-                new = {r: v for r, v in picks if r not in lent[other]}
-                lent[other] |= new
-                added.append(len(new))
-            self.taught.append((added[0], added[1]))
-            if not any(added):
-                break
-            teach("text")
-            teach("meta")
-        at = held if held.any() else np.ones(len(y), bool)
-        self.stack = logistic(self._both(xt[at], xm[at]), y[at], 0.1)
-
-    def _both(self, xt: np.ndarray, xm: np.ndarray) -> np.ndarray:
-        return np.stack([np.ones(len(xt)), self.text.margin(xt), self.meta.margin(xm)], 1)
+    def calibrated(self, name: str, x: np.ndarray) -> np.ndarray:
+        """Log odds of a view, calibrated by itself."""
+        margin = self.views[name].margin(x)
+        return np.clip(np.stack([np.ones(len(x)), margin], 1) @ self.lines[name], -30, 30)
+
+    def settle(self, x: dict[str, np.ndarray], y: np.ndarray) -> None:
+        """Calibrate each view on rows that taught neither, then combine them."""
+        for name, view in self.views.items():
+            self.lines[name] = logistic(np.stack([np.ones(len(y)), view.margin(x[name])], 1), y, 0.1)
+        self.stack = logistic(self._both(x), y, 0.1)
+
+    def _both(self, x: dict[str, np.ndarray]) -> np.ndarray:
+        return np.stack([np.ones(len(x["text"])), self.calibrated("text", x["text"]), self.calibrated("meta", x["meta"])], 1)
 
     def score(self, xt: np.ndarray, xm: np.ndarray) -> np.ndarray:
         if self.stack is None or not len(xt):
             return np.full(len(xt), 0.5)
-        return 1 / (1 + np.exp(-np.clip(self._both(xt, xm) @ self.stack, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self._both({"text": xt, "meta": xm}) @ self.stack, -30, 30)))
 
 
 def _slim(docs: DataFrame) -> DataFrame:
+    text = column_or_null(docs, "text", "string")
     return docs.select(
-        column_or_null(docs, "doc_id", "long").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"),
-        column_or_null(docs, "source", "string").alias("source"), column_or_null(docs, "lang", "string").alias("lang"),
+        column_or_null(docs, "doc_id", "long").alias("doc_id"), text.alias("text"), column_or_null(docs, "source", "string").alias("source"),
+        column_or_null(docs, "lang", "string").alias("lang"), F.coalesce(column_or_null(docs, "n_chars", "long"), F.length(text), F.lit(0)).alias("n_chars"),
     )
 
 
 def _views(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    xt, xm = [], []
-    for t, s, g in zip(pdf["text"], pdf["source"], pdf["lang"]):
-        t = t if isinstance(t, str) else ""
-        xt.append(text_view(t))
-        xm.append(meta_view(len(t), t.count("\n") + 1, len(t.encode("utf-8", "replace")), s, g))
+    xt = [text_view(t if isinstance(t, str) else "") for t in pdf["text"]]
+    xm = [meta_view(n, s, g) for n, s, g in zip(pdf["n_chars"].tolist(), pdf["source"], pdf["lang"])]
     return np.array(xt).reshape(-1, len(TEXT_NAMES)), np.array(xm).reshape(-1, len(META_NAMES))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, unlabelled: int = 6000) -> CoModel:
-    """Learn from at most per_class labelled rows of each class and ``unlabelled`` further rows.
+def _stack(cells, names: tuple[str, ...]) -> np.ndarray:
+    return np.array([list(x) for x in cells], float).reshape(-1, len(names))
 
-    Only feature rows of these bounded samples reach the driver. Rows whose crc32 of the id is
-    divisible by 5 never teach.
-    """
-    slim = _slim(docs)
-    known = labelled_sample(slim, labels, "quality", per_class, ("text", "source", "lang"))
-    named = labels.select(column_or_null(labels, "doc_id", "long").alias("pick"))
-    free = slim.select(F.col("doc_id").alias("pick")).where(F.col("pick").isNotNull() & ~held_out(F.col("pick"))).join(named, "pick", "left_anti")
-    picks = [r[0] for r in free.orderBy(F.xxhash64("pick"), "pick").limit(unlabelled).collect()]  # bounded by the limit
-    few = slim.sparkSession.createDataFrame([(p,) for p in picks], "pick long")
-    extra = slim.join(F.broadcast(few), F.col("doc_id") == F.col("pick"), "left_semi").select("doc_id", F.lit(-1).alias("y"), "text", "source", "lang")
+
+def _featured(slim: DataFrame) -> DataFrame:
+    """(doc_id, xt, xm) of every row: the features of both views."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            xt, xm = _views(pdf)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "xt": list(xt), "xm": list(xm)})
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                xt, xm = _views(part)
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "xt": list(xt), "xm": list(xm)})
+
+    return slim.mapInPandas(run, "doc_id long, xt array<double>, xm array<double>")
+
 
-    rows = known.union(extra).mapInPandas(run, "doc_id long, y int, xt array<double>, xm array<double>").collect()
+def _surest(free: DataFrame, model: CoModel, lent: int, sure: float) -> list:
+    """Of all unlabelled rows, for each view and class the ``lent`` of which the view is surest.
+
+    Each batch passes on its own best, so what is sorted is a small part of the rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, x in (("text", _stack(pdf["xt"], TEXT_NAMES)), ("meta", _stack(pdf["xm"], META_NAMES))):
+                p = 1 / (1 + np.exp(-np.clip(model.views[name].margin(x), -30, 30)))
+                for y, q in ((1, p), (0, 1 - p)):
+                    best = np.lexsort((pdf["doc_id"].to_numpy(), pdf["k"].to_numpy(), -q))[:lent]
+                    best = best[q[best] >= sure]
+                    out.append(pdf.iloc[best].assign(view=name, y=y, q=np.round(q[best], 12)))
+            yield pd.concat(out)
+
+    kinds = "doc_id long, xt array<double>, xm array<double>, k long, view string, y int, q double"
+    best = durable(free.mapInPandas(run, kinds))
+    order = (F.desc("q"), "k", "doc_id", F.xxhash64("xt"))
+    return [r for v in ("text", "meta") for y in (0, 1) for r in best.where((F.col("view") == v) & (F.col("y") == y)).orderBy(*order).limit(lent).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, rounds: int = 4, lent: int = 300, sure: float = 0.9) -> CoModel:
+    """Learn from at most per_class labelled rows of each class, and from all rows without a label.
+
+    In each round a view lends at most ``lent`` rows of each class, the surest of all unlabelled rows;
+    only their features reach the driver. Rows whose crc32 of the id is divisible by 5 never teach.
+    """
+    slim = _slim(docs)
+    known = labelled_sample(slim, labels, "quality", per_class, ("text", "source", "lang", "n_chars"))
+    marks = known.select("doc_id", "y").distinct()
+    rows = _featured(known).join(F.broadcast(marks), "doc_id").collect()  # at most per_class of each class
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["y"], r["xt"]))
+    y = np.array([r["y"] for r in rows], float)
     model = CoModel()
-    side = lambda k, some: np.array([r[k] for r in some], float).reshape(len(some), -1)
-    lab, free_rows = [r for r in rows if r["y"] >= 0], [r for r in rows if r["y"] < 0]
-    if lab:
-        width = (len(TEXT_NAMES), len(META_NAMES))
-        u = [side(k, free_rows) if free_rows else np.zeros((0, w)) for k, w in zip(("xt", "xm"), width)]
-        model.fit(side("xt", lab), side("xm", lab), np.array([r["y"] for r in lab], float), *u)
+    if not 0 < y.sum() < len(y):
+        return model
+    x = {"text": _stack([r["xt"] for r in rows], TEXT_NAMES), "meta": _stack([r["xm"] for r in rows], META_NAMES)}
+    held = np.arange(len(y)) % 5 == 4
+    if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
+        held = np.zeros(len(y), bool)
+    borrowed: dict[str, dict[tuple, tuple]] = {"text": {}, "meta": {}}
+
+    def teach(name: str) -> None:
+        more = list(borrowed[name].values())
+        every = np.concatenate([x[name][~held], _stack([m[0] for m in more], TEXT_NAMES if name == "text" else META_NAMES)])
+        model.views[name].fit(every, np.concatenate([y[~held], [m[1] for m in more]]), np.concatenate([np.ones((~held).sum()), np.full(len(more), 0.3)]))
+
+    for name, view in model.views.items():
+        view.cut(x[name])
+        teach(name)
+    named = labels.select(column_or_null(labels, "doc_id", "long").alias("pick"))
+    free = slim.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(named, F.col("doc_id") == F.col("pick"), "left_anti")
+    free = durable(_featured(free).withColumn("k", F.xxhash64("doc_id")))
+    for _ in range(rounds):
+        added = {"text": 0, "meta": 0}
+        for r in _surest(free, model, lent, sure):
+            other = "meta" if r["view"] == "text" else "text"
+            key = (r["doc_id"], *r["xt"])
+            if key not in borrowed[other]:
+                borrowed[other][key] = (r["xt"] if other == "text" else r["xm"], float(r["y"]))
+                added[r["view"]] += 1
+        model.taught.append((added["text"], added["meta"]))
+        if not any(added.values()):
+            break
+        for name in model.views:
+            teach(name)
+    at = held if held.any() else np.ones(len(y), bool)
+    model.settle({k: v[at] for k, v in x.items()}, y[at])
     return model
 
 
@@ -199,13 +235,17 @@ def rate(docs: DataFrame, model: CoModel) -> DataFrame:
     """doc_id, held_out, score (that quality is 1) and predicted for every document.
 
     Defined cases: a null text counts as empty and is scored as such; null sources and languages
-    are a class of their own; without labels of both classes every score is 0.5.
+    are a class of their own, and a null n_chars is the text's length; repeated rows get equal
+    results; long texts are measured whole; other columns are left out; without labels of both
+    classes every score is 0.5.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p = model.score(*_views(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": p, "predicted": (p >= 0.5).astype("int32")})
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                p = model.score(*_views(part))
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "held_out": part["held_out"].array, "score": p, "predicted": (p >= 0.5).astype("int32")})
 
     slim = _slim(docs).withColumn("held_out", held_out(F.col("doc_id")))
     return slim.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -4,7 +4,8 @@ Trained here, on a bounded sample of labelled rows. Folding lowers case and undo
 homoglyphs and digits that stand for letters. The lexicon has words and word beginnings that
 toxic texts hold significantly more often than clean ones, weighted by the log ratio; phrases of
 an entry and a neighbouring word that clean texts use are exceptions and cancel the match. The
-score is a logistic function of the matched weight and of the matched weight per word.
+score is a logistic function of the matched weight and of the matched weight per word, fitted on
+rows that chose no entry.
 """
 
 from __future__ import annotations
@@ -12,18 +13,19 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null, widen
-from .langid import held_out
+from .common import column_or_null, durable, widen
+from .langid import held_out, smallest
 
 WORDS = re.compile(r"[^\W\d_]+")
 BASIC = str.maketrans("0134578@$!|", "oieastbasii")
@@ -98,21 +100,22 @@ class Lexicon:
                     best[begin] = (self.weights[e], e, end)
         return [(e, b, end) for b, (_, e, end) in sorted(best.items())]
 
-    @staticmethod
-    def around(folded: str, begin: int, end: int) -> tuple[str, str]:
-        left = WORDS.findall(folded[max(0, begin - 40) : begin])
-        right = WORDS.findall(folded[end : end + 40])
-        return left[-1] if left else "", right[0] if right else ""
+    def found(self, folded: str) -> list[tuple[str, str, str]]:
+        """(entry, word before, word after) of each match; neighbours are whole words however far they are."""
+        hits = self.matches(folded)
+        if not hits:
+            return []
+        spans = [m.span() for m in WORDS.finditer(folded)]
+        begins, ends = [b for b, _ in spans], [e for _, e in spans]
+        out = []
+        for entry, begin, end in hits:
+            left, right = bisect_right(ends, begin) - 1, bisect_left(begins, end)
+            out.append((entry, folded[slice(*spans[left])] if left >= 0 else "", folded[slice(*spans[right])] if right < len(spans) else ""))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text or "")
-        total = 0.0
-        for e, b, end in self.matches(folded):
-            if self.exceptions:
-                left, right = self.around(folded, b, end)
-                if f"{left} {e}" in self.exceptions or f"{e} {right}" in self.exceptions:
-                    continue
-            total += self.weights[e]
+        total = sum(self.weights[e] for e, left, right in self.found(folded) if f"{left} {e}" not in self.exceptions and f"{e} {right}" not in self.exceptions)
         words = max(1, folded.count(" ") + folded.count("\n") + 1)
         return math.log1p(total), math.log1p(100.0 * total / words)
 
@@ -131,57 +134,89 @@ def _llr(a: int, b: int, na: int, nb: int) -> float:
     return 2 * (f(a, na * t / n) + f(b, nb * t / n) + f(na - a, na * (n - t) / n) + f(nb - b, nb * (n - t) / n))
 
 
-def learn(toxic: list[str], clean: list[str], least: float = 20.0, most_entries: int = 5000) -> Lexicon:
-    """A lexicon from texts of both classes; near copies of a text teach once."""
-    seen: set[int] = set()
+def _once(rows: DataFrame) -> DataFrame:
+    """(y, doc_id, text) of rows (doc_id, y, text) that have a word; near copies of a text come once, as a toxic one if any is."""
 
-    def unique(texts):
-        out = []
-        for t in texts:
-            folded = fold(t)
-            words = WORDS.findall(folded)
-            if words:
-                a, b = _sketch(words)
-                if a in seen or b in seen:
-                    continue
-                seen.update((a, b))
-                out.append((t, frozenset(words)))
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = [WORDS.findall(fold(t)) for t in pdf["text"]]
+            ok = np.array([bool(w) for w in words], bool)
+            sketch = np.array([_sketch(w) for w in words if w], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pdf[ok].assign(a=sketch[:, 0], b=sketch[:, 1])
+
+    first = F.struct(1 - F.col("y"), "doc_id", F.xxhash64("text"))
+    out = rows.select("doc_id", "y", "text").mapInPandas(run, "doc_id long, y int, text string, a long, b long")
+    for key in ("a", "b"):
+        out = out.groupBy(key).agg(F.min_by(F.struct("doc_id", "y", "text", "a", "b"), first).alias("r")).select("r.*")
+    return out.select("doc_id", "y", "text")
+
+
+def _tally(rows: DataFrame, things: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(thing, bad, good): in how many toxic and clean texts each thing is; counted where the texts are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sides: tuple[Counter, Counter] = (Counter(), Counter())
+        for pdf in batches:
+            for y, t in zip(pdf["y"], pdf["text"]):
+                sides[y].update(things(fold(t)))
+        every = list(sides[0].keys() | sides[1].keys())
+        yield pd.DataFrame({"thing": every, "bad": [sides[1][x] for x in every], "good": [sides[0][x] for x in every]}).astype({"thing": str, "bad": int, "good": int})
 
-    bad, good = unique(toxic), unique(clean)
-    na, nb = max(1, len(bad)), max(1, len(good))
-    stems = lambda ws: {x for w in ws for x in (*(w[:k] for k in range(4, min(len(w), 10) + 1)), w + "$")}
-    in_bad: Counter = Counter()
-    for _, ws in bad:
-        in_bad.update(stems(ws))
-    # an entry that no clean text holds must be significant; others can't be more so
-    able = {e for e, n in in_bad.items() if _llr(n, 0, na, nb) >= least}
-    in_good: Counter = Counter()
-    for _, ws in good:
-        in_good.update(stems(ws) & able)
-    ranked = sorted(((_llr(in_bad[e], in_good[e], na, nb), e) for e in able), key=lambda x: (-round(x[0], 6), -len(x[1].rstrip("$")), x[1]))
+    sums = rows.select("y", "text").mapInPandas(run, "thing string, bad long, good long")
+    return sums.groupBy("thing").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def _stems(folded: str) -> set[str]:
+    """Words, marked by a "$" at the end, and their beginnings of four to ten letters."""
+    return {x for w in set(WORDS.findall(folded)) for x in (*(w[:k] for k in range(4, min(len(w), 10) + 1)), w + "$")}
+
+
+def learn(rows: DataFrame, least: float = 20.0, most_entries: int = 5000) -> Lexicon:
+    """A lexicon from labelled rows (doc_id, y, text); near copies of a text teach once.
+
+    Stems and phrases are counted in executors; what reaches the driver are the significant ones,
+    and two numbers for each row. Three rows of four choose the entries, the fourth sets the line
+    from matches to scores; where these have not both classes, all rows do both.
+    """
+    once = durable(_once(rows).withColumn("part", F.pmod(F.xxhash64(F.lit("line"), "doc_id"), F.lit(4))))
+    n = {(r["y"], r["sets"]): r["n"] for r in once.groupBy("y", (F.col("part") == 0).alias("sets")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = all(n.get((y, x), 0) >= 20 for y in (0, 1) for x in (True, False))
+    chooses = once.where("part <> 0") if apart else once
+    count = lambda y: max(1, n.get((y, False), 0) + (0 if apart else n.get((y, True), 0)))
+    na, nb = count(1), count(0)
+
+    def significant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            gain = [_llr(a, b, na, nb) for a, b in zip(pdf["bad"].tolist(), pdf["good"].tolist())]
+            yield pdf.assign(gain=gain)[np.array(gain) >= least] if len(pdf) else pdf.assign(gain=[0.0] * 0)
+
+    able = _tally(chooses, _stems).mapInPandas(significant, "thing string, bad long, good long, gain double").collect()
     weights: dict[str, float] = {}
-    for v, e in ranked:
-        if v < least or len(weights) >= most_entries:
+    for r in sorted(able, key=lambda r: (-round(r["gain"], 6), -len(r["thing"].rstrip("$")), r["thing"])):
+        if len(weights) >= most_entries:
             break
+        e = r["thing"]
         stem = e.rstrip("$")
-        ratio = math.log((in_bad[e] + 0.5) / (na + 1)) - math.log((in_good[e] + 0.5) / (nb + 1))
+        ratio = math.log((r["bad"] + 0.5) / (na + 1)) - math.log((r["good"] + 0.5) / (nb + 1))
         related = any(stem[:k] in weights or stem[:k] + "$" in weights for k in range(4, len(stem) + 1)) or any(x.startswith(stem) for x in weights)
         if ratio >= 1.5 and not related:
             weights[e] = ratio
+    if not weights:
+        return Lexicon({})
     lex = Lexicon(weights)
-    phrases: tuple[Counter, Counter] = (Counter(), Counter())
-    for side, texts in zip(phrases, (bad, good)):
-        for t, _ in texts:
-            folded = fold(t)
-            for e, b, end in lex.matches(folded):
-                left, right = lex.around(folded, b, end)
-                side.update({f"{left} {e}", f"{e} {right}"})
-    exceptions = [p for p, n in phrases[1].items() if n >= 3 and n / nb > 4 * (phrases[0][p] + 1) / na]
-    lex = Lexicon(weights, exceptions)
-    x = np.array([(1.0, *lex.features(t)) for t, _ in (*bad, *good)]).reshape(-1, 3)
-    y = np.array([1.0] * len(bad) + [0.0] * len(good))
-    return Lexicon(weights, exceptions, tuple(logistic(x, y)) if len(bad) and len(good) else (-3.0, 1.0, 0.0))
+    phrases = _tally(chooses, lambda folded: [p for e, left, right in lex.found(folded) for p in {f"{left} {e}", f"{e} {right}"}])
+    clean = phrases.where((F.col("good") >= 3) & (F.col("good") / nb > 4 * (F.col("bad") + 1) / na))
+    lex = Lexicon(weights, [r["thing"] for r in clean.collect()])
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.array([lex.features(t) for t in pdf["text"]], float).reshape(-1, 2)
+            yield pd.DataFrame({"y": pdf["y"], "a": x[:, 0], "b": x[:, 1]})
+
+    lines = once.where("part = 0") if apart else once
+    seen = sorted(tuple(r) for r in lines.mapInPandas(measure, "y int, a double, b double").collect())
+    y, x = np.array([r[0] for r in seen], float), np.array([(1.0, r[1], r[2]) for r in seen]).reshape(-1, 3)
+    return Lexicon(weights, lex.exceptions, tuple(logistic(x, y)) if 0 < y.sum() < len(y) else (-3.0, 1.0, 0.0))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
@@ -203,7 +238,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     """At most per_class rows of each label 0 and 1, picked by hash, never held-out ones."""
     ids = labels.select(column_or_null(labels, "doc_id", "long").alias("pick"), column_or_null(labels, column, "int").alias("y"))
     ids = ids.where(F.col("pick").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("pick")))
-    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("pick"), "pick"))).where(F.col("n") <= per_class).select("pick", "y")
+    ids = smallest(ids, "y", "pick", per_class).select("pick", "y")
     rows = ids.collect()  # 2 * per_class at most
     few = docs.sparkSession.createDataFrame([(r["pick"], r["y"]) for r in rows], "pick long, y int")
     d = docs.select(column_or_null(docs, "doc_id", "long").alias("doc_id"), *[F.col(f"`{c}`") for c in keep])
@@ -212,15 +247,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Lexicon:
     """Learn from at most per_class labelled rows of each class."""
-    rows = sorted(labelled_sample(docs, labels, "toxic", per_class).where("text IS NOT NULL").collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return learn([r["text"] for r in rows if r["y"] == 1], [r["text"] for r in rows if r["y"] == 0])
+    return learn(labelled_sample(docs, labels, "toxic", per_class).where("text IS NOT NULL"))
 
 
 def rate(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with score and predicted.
 
     Defined cases: null and empty texts get the score of no match; with no labelled rows nothing
-    matches and every score is that of no match; columns of these names are replaced.
+    matches and every score is that of no match; repeated rows get equal results; long texts are
+    matched whole; columns of these names are replaced.
     """
 
     def run(pdf: pd.DataFrame) -> dict:
