@@ -2,14 +2,18 @@
 
 A page is cut into flat blocks at block-level tags. A block has its number of words, its link
 density, both for its neighbours, and what the tags around it say: whether it lies in an
-article, in a part that is never content, or in an element whose class or id names one. A small
-labelled table teaches a decision tree, which then classifies the blocks of every page.
+article, in a part that is never content, or in an element whose class or id names one. A name
+says nothing of an element that holds most of the page's text. A small labelled table teaches a
+decision tree, which then classifies the blocks of every page.
+
+Reading takes one pass, in time that grows with the page's length whatever its markup.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -26,116 +30,201 @@ BLOCK = frozenset(
 RAW = frozenset("script style textarea title noscript iframe template svg math canvas object noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never the article's.
-NEVER = frozenset("nav header footer aside form button select menu dialog fieldset label option head noscript".split())
+NEVER = frozenset("nav header footer aside button select menu dialog fieldset label option head noscript".split())
 INSIDE = frozenset(("article", "main"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HINT = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisement|adsense|adslot|banner|sponsor(?:ed|s)?|promo(?:tion|tions|ted)?|comments?|comment-?list|disqus|respond|replies|reply|sidebar|side-bar|widgets?|menu|nav(?:bar|igation)?|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|related|recommend(?:ed|ations?)?|footer|foot|header|masthead|topbar|toolbar|pagination|pager|copyright|legal|disclaimer|tags?|byline-?links|trending|popular|outbrain|taboola|skip-?link|search)(?![a-z])"
+#: Words of classes and ids that name parts that are no content.
+HINTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promos promotion promotions promoted comment comments commentlist "
+    "disqus respond replies reply sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "newsletter subscribe subscription signup login share sharing social related recommend recommended recommendation recommendations footer foot header masthead topbar toolbar "
+    "pagination pager copyright legal disclaimer tag tags byline trending popular outbrain taboola skiplink search".split()
 )
+#: Share of the page's words without links and outside NEVER beyond which a name is void: where the
+#: name is a part of a compound, and where it is a whole class or the element is a form.
+VOID_PART, VOID_WHOLE = 0.5, 0.9
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTED = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
+PARTS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "tag", "never", "hint", "inside")
+    __slots__ = ("text", "words", "linked", "tag", "never", "named", "hint", "inside")
 
-    def __init__(self, text: str, linked: int, tag: str, never: bool, hint: bool, inside: bool):
-        self.text, self.tag, self.never, self.hint, self.inside = text, tag, never, hint, inside
+    def __init__(self, text: str, linked: int, tag: str, never: bool, named: int, inside: bool):
+        self.text, self.tag, self.never, self.named, self.inside = text, tag, never, named, inside
         self.words = len(text.split())
         self.linked = linked
+        self.hint = False
+
+
+def named_part(name: str, value: str) -> int:
+    """0: names nothing; 1: a part of a compound names what is no content; 2: a whole class or id does, or it is a form."""
+    if name == "form":
+        return 2
+    if not value or name in ("body", "html", "main", "article"):
+        return 0
+    if any(x in HINTS or x.replace("-", "").replace("_", "") in HINTS for x in value.split()):
+        return 2
+    return int(any(x in HINTS for x in PARTS.findall(value)))
+
+
+class Reader:
+    """Cuts markup into (text, name, closing, attributes); text goes before the tag. Every byte is passed a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.quotes = True  # until a quote is never closed: then tags end at the first ">"
+        self.missing: set[str] = set()  # elements of which no further end exists
+
+    def _after(self, mark: str, at: int) -> int:
+        k = self.page.find(mark, at)
+        return len(self.page) if k < 0 else k + len(mark)
+
+    def tags(self):
+        page, n, text_from = self.page, len(self.page), 0
+        while True:
+            at = page.find("<", self.at)
+            if at < 0:
+                yield page[text_from:], "", False, ""
+                return
+            head = page[at + 1 : at + 3]
+            if head[:1] in ("!", "?"):
+                end = self._after("-->", at + 4) if page.startswith("<!--", at) else self._after("]]>" if page.startswith("<![CDATA[", at) else ">", at + 2)
+                yield page[text_from:at], "", False, ""
+                self.at = text_from = end
+                continue
+            closing = head[:1] == "/"
+            name = NAME.match(page, at + 1 + closing)
+            if name is None:
+                self.at = at + 1  # a sign, no tag
+                continue
+            end = 0
+            if self.quotes:
+                m = QUOTED.match(page, name.end())
+                if m is None:
+                    self.quotes = False
+                else:
+                    end = m.end()
+            if not end:
+                end = self._after(">", name.end())
+            self.at = end
+            yield page[text_from:at], name[0].lower(), closing, page[name.end() : end].removesuffix(">")
+            text_from = self.at
+
+    def skip(self, name: str, to_end: bool) -> None:
+        """Go on behind the element's end; where there is none, at once, or at the page's end."""
+        end = None if name in self.missing else re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(self.page, self.at)
+        if end is None:
+            self.missing.add(name)
+        self.at = end.end() if end else len(self.page) if to_end else self.at
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks in page order, character references decoded and white space made one."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, never, hint, inside
+    stack: list[tuple[str, bool, int, bool]] = []  # name, never, innermost named element or -1, inside
+    open_: Counter = Counter()
+    above: list[int] = []  # for each named element, the one around it
+    strength: list[int] = []
     parts: list[str] = []
-    linked = [0]
-    depth_a = [0]
-    block_tag = [""]
-
-    def flags() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    linked, in_link, tag = 0, False, ""
 
     def flush() -> None:
+        nonlocal linked
         text = SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if text:
-            out.append(Block(text, linked[0], block_tag[0], *flags()))
-        linked[0] = 0
+            _, never, named, inside = stack[-1] if stack else ("", False, -1, False)
+            out.append(Block(text, linked, tag, never, named, inside))
+        linked = 0
 
-    def add(raw: str) -> None:
+    def pop() -> str:
+        name = stack.pop()[0]
+        open_[name] -= 1
+        return name
+
+    reader = Reader(page)
+    for raw, name, closing, attrs in reader.tags():
         if raw:
             text = entities.unescape(raw)
             parts.append(text)
-            if depth_a[0]:
-                linked[0] += len(text.split())
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+            if in_link:
+                linked += len(text.split())
         if not name:
-            if m[0].startswith("<![CDATA["):
-                continue
             continue
-        closing, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if name == "br":
             parts.append(" ")
             continue
         if name == "a":
-            depth_a[0] = 0 if closing else 1
+            in_link = not closing
         if not closing and name in RAW and not attrs.endswith("/"):
             flush()
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else (n if name in ("script", "style") else at)
+            reader.skip(name, name in ("script", "style"))
             continue
         if name in BLOCK:
             flush()
         if closing:
-            if any(s[0] == name for s in stack):
-                if name in ("p", "li", "b", "i", "a", "span") and (name not in [s[0] for s in stack[-6:]]):
-                    continue
-                while stack.pop()[0] != name:
+            if open_[name] and not (name in ("p", "li", "b", "i", "a", "span") and name not in [s[0] for s in stack[-6:]]):
+                while pop() != name:
                     pass
         elif name not in VOID and not attrs.rstrip().endswith("/"):
             if name in CLOSES:
                 while stack and stack[-1][0] in (CLOSES[name] | {"b", "i", "em", "strong", "span", "a"}) and any(s[0] in CLOSES[name] for s in stack[-4:]):
-                    stack.pop()
-            never, hint, inside = flags()
-            named = ""
-            hidden = False
+                    pop()
+            _, never, named, inside = stack[-1] if stack else ("", False, -1, False)
+            value, hidden = "", False
             if attrs:
                 for a in ATTRIBUTE.finditer(attrs):
-                    key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+                    key, v = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                     if key in ("class", "id"):
-                        named += " " + value
+                        value += " " + v
                     elif key == "role":
-                        hidden |= value in ROLES
+                        hidden |= v in ROLES
                     elif key == "aria-hidden":
-                        hidden |= value == "true"
+                        hidden |= v == "true"
                     elif key == "style":
-                        hidden |= "display:none" in value.replace(" ", "")
-                hidden |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs))
+                        hidden |= "display:none" in v.replace(" ", "")
+                hidden |= bool(HIDDEN.search(attrs))
             # a header of the article itself holds its headline
-            head_inside = name == "header" and inside
-            never = never or hidden or (name in NEVER and not head_inside)
-            hint = hint or (name not in ("body", "html", "main", "article") and bool(named) and bool(HINT.search(named.replace("_", "-"))))
-            stack.append((name, never, hint, inside or name in INSIDE))
+            never = never or hidden or (name in NEVER and not (name == "header" and inside))
+            kind = named_part(name, value)
+            if kind:
+                above.append(named)
+                strength.append(kind)
+                named = len(above) - 1
+            stack.append((name, never, named, inside or name in INSIDE))
+            open_[name] += 1
             if name in BLOCK:
-                block_tag[0] = name
+                tag = name
     flush()
+    _hints(out, above, strength)
     return out
 
 
+def _hints(found: list[Block], above: list[int], strength: list[int]) -> None:
+    """Mark the blocks in named elements, but for elements that hold most of the page's words."""
+    held, total = [0] * len(above), 0
+    for b in found:
+        plain = 0 if b.never else max(0, b.words - b.linked)
+        total += plain
+        if b.named >= 0:
+            held[b.named] += plain
+    for k in range(len(above) - 1, -1, -1):  # what is inside comes after
+        if above[k] >= 0:
+            held[above[k]] += held[k]
+    hint = []
+    for k, up in enumerate(above):
+        void = held[k] > (VOID_WHOLE if strength[k] == 2 else VOID_PART) * total
+        hint.append(not void or (up >= 0 and hint[up]))
+    for b in found:
+        b.hint = b.named >= 0 and hint[b.named]
+
+
 #: words, link density, words and link density of the block before and after, inside an
 #: article, an article exists on the page, inside a part that is never content, a hint by
 #: class or id, a heading.
@@ -148,7 +237,7 @@ LABELLED = [
     (9, 0, 4, 0, 60, 0, 1, 1, 0, 0, 1, 1), (60, 0, 9, 0, 80, 0.05, 1, 1, 0, 0, 0, 1), (80, 0.05, 60, 0, 35, 0, 1, 1, 0, 0, 0, 1), (1, 0, 80, 0, 40, 0, 1, 1, 0, 0, 0, 1),
     (3, 0, 40, 0, 2, 0, 1, 1, 0, 0, 0, 1), (2, 0, 3, 0, 7, 1, 1, 1, 0, 0, 0, 1), (150, 0.02, 12, 0, 90, 0, 1, 1, 0, 0, 0, 1), (12, 0.5, 150, 0, 90, 0, 1, 1, 0, 0, 0, 1),
     (7, 0, 12, 0, 7, 0, 1, 1, 0, 0, 0, 1), (25, 0.3, 30, 0, 30, 0, 1, 1, 0, 0, 0, 1), (5, 0, 6, 0, 0, 0, 1, 1, 0, 0, 0, 1), (4, 0, 8, 0, 60, 0, 1, 1, 0, 0, 1, 1),
-    (11, 0, 0, 0, 0, 0, 1, 1, 0, 0, 1, 1), (30, 0, 25, 0, 8, 0.3, 1, 1, 0, 0, 0, 1), (8, 0.9, 30, 0, 30, 0, 1, 1, 0, 0, 0, 1), (1, 0, 1, 0, 1, 0, 1, 1, 0, 0, 0, 1),
+    (1, 0, 1, 1, 60, 0, 1, 1, 0, 0, 1, 1), (11, 0, 0, 0, 0, 0, 1, 1, 0, 0, 1, 1), (30, 0, 25, 0, 8, 0.3, 1, 1, 0, 0, 0, 1), (8, 0.9, 30, 0, 30, 0, 1, 1, 0, 0, 0, 1), (1, 0, 1, 0, 1, 0, 1, 1, 0, 0, 0, 1),
     # the same pages: links and adverts inside the article element, by name
     (6, 0, 70, 0, 50, 0, 1, 1, 0, 1, 0, 0), (20, 0, 60, 0, 40, 0, 1, 1, 0, 1, 0, 0), (40, 0.1, 40, 0, 40, 0, 1, 1, 0, 1, 0, 0), (5, 1, 40, 0, 5, 1, 1, 1, 0, 1, 0, 0),
     (3, 0, 30, 0, 3, 0, 1, 1, 1, 0, 0, 0), (8, 0.5, 50, 0, 8, 0.5, 1, 1, 1, 0, 0, 0), (30, 0, 50, 0, 20, 0, 1, 1, 1, 0, 0, 0), (2, 1, 50, 0, 2, 1, 1, 1, 1, 1, 0, 0),
@@ -252,7 +341,9 @@ def extract(pages: DataFrame, html: str = "html", tree: Tree | None = None) -> D
     """pages with text and n_chars in place of the html.
 
     Defined cases: a null or empty page has the empty text; markup that never ends runs to the
-    page's end; repeated rows get equal results; columns named text and n_chars are replaced.
+    page's end, and once a quote in a tag is never closed, tags end at the first ">"; very long
+    pages are read whole, in linear time; repeated rows get equal results; columns named text and
+    n_chars are replaced.
     """
 
     def run(pdf: pd.DataFrame) -> dict:
