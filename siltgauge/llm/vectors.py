@@ -219,85 +219,146 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", emb
 # --- exact top-k ------------------------------------------------------------------------
 
 
-def search_block(queries: np.ndarray, ids_q: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, step: int = 16, batch: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, ids, scores) of the k best rows for each query, ties to smaller ids; exact.
-
-    rows are kept dimension by dimension. Partial products of a batch of queries grow by ``step``
-    dimensions; what the rest can add is at most the product of the remaining masses, and rows
-    that can't reach any query's k-th best known score leave the block.
+def _masses(m: np.ndarray) -> np.ndarray:
+    """Norm of what each row has from each dimension on; one column more than dimensions."""
+    out = np.zeros((m.shape[0], m.shape[1] + 1))
+    np.cumsum((m.astype(np.float64) ** 2)[:, ::-1], axis=1, out=out[:, 1:])
+    return np.sqrt(out[:, ::-1])
+
+
+def search_block(
+    queries: np.ndarray, own: np.ndarray, bound: np.ndarray, rows: np.ndarray, row: np.ndarray, ids: np.ndarray, k: int, step: int = 4, batch: int = 128, shares: list | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the query, place of the row, score) of the k best rows for each query; exact.
+
+    own and row tell which row a query is itself, bound is a score that k of its rows reach for
+    certain, or -inf. Dimensions that hold most mass come first, and rows are kept dimension by
+    dimension. Partial products grow by ``step`` dimensions. What the rest can add or take away is
+    at most the product of the remaining masses: that raises each query's bound, and the pairs that
+    can't reach it leave. When fewer than half are left, they are kept as a list, query by query.
+    shares, if given, gets the part of all pairs that is left after each block.
     """
-    by_id = np.argsort(ids, kind="stable")
-    ids, rows = ids[by_id], rows[by_id]
     n, d = rows.shape
+    if not n or not len(queries):
+        return
     peak = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, d)
     kind = np.float64 if peak < 2.0**53 else np.int64  # doubles hold these sums exactly
-    never = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
-    columns = np.ascontiguousarray(rows.T.astype(kind))
-    mass = lambda m: np.sqrt(np.maximum(np.cumsum((m.astype(np.float64) ** 2)[:, ::-1], axis=1)[:, ::-1], 0))
-    rest_rows = np.ascontiguousarray(mass(rows).T)
-    # the rows with most mass are likely winners and give a first bound
-    lead = np.argsort(-rest_rows[0], kind="stable")[: 4 * k] if d and n else np.arange(min(n, 4 * k))
+    first = np.argsort(-(rows.astype(np.float64) ** 2).mean(0) * (queries.astype(np.float64) ** 2).mean(0), kind="stable")
+    columns, queries = np.ascontiguousarray(rows[:, first].T.astype(kind)), queries[:, first].astype(kind)
+    rest_rows, slack = np.ascontiguousarray(_masses(rows[:, first]).T), 1e-6 + peak * 1e-15
     for at in range(0, len(queries), batch):
-        q, who = queries[at : at + batch].astype(kind), ids_q[at : at + batch]
-        spot = np.minimum(np.searchsorted(ids, who), n - 1)
-        own = np.nonzero(ids[spot] == who)[0]  # a query is no row of its own
-        first = np.where(ids[lead][None, :] == who[:, None], never, q @ columns[:, lead])
-        bound = np.partition(first, len(lead) - k, axis=1)[:, len(lead) - k] if len(lead) >= k else np.full(len(q), never)
-        rest, alive = mass(q), np.arange(n)
-        part = np.zeros((len(q), n), kind)
+        q, mine, least = queries[at : at + batch], own[at : at + batch], bound[at : at + batch].astype(np.float64).copy()
+        rest = _masses(q)
+        part, left = np.zeros((len(q), n), kind), None
+        other = mine[:, None] != row[None, :]
         for c in range(0, d, step):
             e = min(c + step, d)
-            part += q[:, c:e] @ (columns[c:e] if len(alive) == n else columns[c:e, alive])
-            if e < d and len(alive) > k:
-                room = np.outer(rest[:, e] * (1 + 1e-9), rest_rows[e, alive]) + 1e-6 + peak * 1e-15
-                keep = (part + room >= bound[:, None]).any(0)
-                if keep.mean() < 0.75:
-                    alive, part = alive[keep], part[:, keep]
-        m = len(alive)
-        spot = np.searchsorted(alive, spot)
-        there = own[(spot[own] < m) & (alive[np.minimum(spot[own], m - 1)] == np.searchsorted(ids, who[own]))] if m else own[:0]
-        part[there, spot[there]] = never
-        least = np.partition(part, m - k, axis=1)[:, m - k] if m > k else np.full(len(q), never)
-        i, j = np.nonzero((part >= least[:, None]) & (part > never))
-        order = np.lexsort((alive[j], -part[i, j], i))
-        i, j = i[order], j[order]
+            if left is None:
+                part += q[:, c:e] @ columns[c:e]
+                room = rest[:, e, None] * rest_rows[e][None, :] * (1 + 1e-9) + slack
+                sure = np.where(other, part - room, -np.inf)
+                if n > k and 2 * e >= d:
+                    least = np.maximum(least, np.partition(sure, n - k, axis=1)[:, n - k])
+                keep = other & (part + room >= least[:, None])
+                if shares is not None:
+                    shares.append((e, keep.mean()))
+                if 2 * keep.sum() < keep.size:
+                    left = np.nonzero(keep)
+                    score = part[left]
+            else:
+                i, j = left
+                for x in range(c, e):
+                    score += q[i, x] * columns[x, j]
+                keep = score + rest[i, e] * rest_rows[e, j] * (1 + 1e-9) + slack >= least[i]
+                left, score = (i[keep], j[keep]), score[keep]
+                if shares is not None:
+                    shares.append((e, len(score) / (len(q) * n)))
+        if left is None:
+            left = np.nonzero(other & (part + slack >= least[:, None]))
+            score = part[left]
+        i, j = left
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
         nth = np.arange(len(i)) - np.searchsorted(i, i, "left")
-        yield who[i[nth < k]], ids[alive[j[nth < k]]], part[i, j][nth < k].astype(np.int64)
+        yield at + i[nth < k], j[nth < k], score[nth < k].astype(np.int64)
+
+
+def _longs(vecs, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs), "<i8").reshape(len(vecs), size) if len(vecs) else np.zeros((0, size), np.int64)
+
 
+def _first_bounds(asked: DataFrame, packed: DataFrame, k: int, sample_rows: int) -> DataFrame:
+    """asked with bound: a score that k rows of a sample reach, so that k of all rows do.
 
-def top_k(df: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 8192, group_rows: int = 4096) -> DataFrame:
+    The sample, at most twice ``sample_rows`` rows, holds the rows with most mass, which win most
+    often, and rows picked by hash. It only starts the bounds, so it changes work, not results.
+    """
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(mass=[float((np.frombuffer(v, "<i8").astype(np.float64) ** 2).sum()) for v in pdf["vec"]])
+
+    heavy = packed.select("r", "vec").mapInPandas(weigh, "r long, vec binary, mass double").orderBy(F.desc("mass"), "r").limit(sample_rows).collect()
+    mixed = packed.select("r", "vec").orderBy(F.xxhash64("vec"), "r").limit(sample_rows).collect()
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    every = {x["r"]: bytes(x["vec"]) for x in [*heavy, *mixed]}
+    for size in {len(v) // 8 for v in every.values()}:
+        some = [r for r, v in every.items() if len(v) == 8 * size]
+        by_size[size] = np.array(some), _longs([every[r] for r in some], size).T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bound = np.full(len(pdf), -np.inf)
+            sizes = pdf["vec"].map(len).to_numpy(np.int64) // 8
+            for size in np.unique(sizes).tolist():
+                if size not in by_size:
+                    continue
+                rows, columns = by_size[size]
+                at = np.nonzero(sizes == size)[0]
+                scores = (_longs(pdf["vec"].iloc[at].tolist(), size) @ columns).astype(np.float64)
+                scores[pdf["r"].to_numpy()[at][:, None] == rows[None, :]] = -np.inf
+                if len(rows) > k:
+                    bound[at] = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k]
+            yield pdf.assign(bound=bound)
+
+    return asked.mapInPandas(run, "r long, vec_id long, vec binary, bound double")
+
+
+def top_k(df: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 8192, group_rows: int = 4096, sample_rows: int = 1024) -> DataFrame:
     """The k rows with the highest integer inner product for each query (vec_id divisible by ``every``).
 
     Columns query_id, rank, vec_id, score. The queries in groups meet the rows in shards, so that
     a task holds one group and one shard whatever the table's size, and returns k rows a query.
 
     Defined cases: vectors that are null, or hold null or non-finite components, and null
-    vec_ids take no part; vectors of different lengths are never compared; a vec_id names one
-    vector, and repeats of it count once; sums beyond a long are outside what is defined.
+    vec_ids take no part; vectors of different lengths are never compared; each row is a row of
+    its own, so that rows that repeat a vec_id are candidates each, and each query row among them
+    has a list of its own, without itself; columns with clashing names are left out; sums beyond a
+    long are outside what is defined.
     """
-    packed = durable(_pack(_table(df, vec_id, embedding, None), True).where("vec IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "vec"))
+    usable = _pack(_table(df, vec_id, embedding, None), True).where("vec IS NOT NULL AND vec_id IS NOT NULL")
+    packed = durable(usable.select(F.monotonically_increasing_id().alias("r"), "vec_id", "vec"))
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     total, asked = packed.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     shards, groups = max(1, -(-total // shard_rows)), max(1, -(-asked // group_rows))
-    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.lit(n))
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("r")), F.lit(n)).cast("long")
     over = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = packed.where(is_query).select("vec_id", "vec", deal(1, groups).cast("long").alias("g"), over(shards).alias("s"))
-    c = packed.select("vec_id", "vec", deal(2, shards).cast("long").alias("s"), over(groups).alias("g"))
+    q = durable(_first_bounds(packed.where(is_query), packed, k, sample_rows))
+    q = q.select("r", "vec_id", "vec", "bound", deal(1, groups).alias("g"), over(shards).alias("s"))
+    c = packed.select("r", "vec_id", "vec", deal(2, shards).alias("s"), over(groups).alias("g"))
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        left, right = left.drop_duplicates("vec_id"), right.drop_duplicates("vec_id")
-        sizes = right["vec"].map(len) if len(right) else pd.Series([], dtype=int)
-        for size, part in left.groupby(left["vec"].map(len)) if len(left) else ():
-            rows = right[sizes == size]
-            if not len(rows):
-                continue
-            load = lambda f: np.frombuffer(b"".join(f["vec"]), "<i8").reshape(len(f), -1) if size else np.zeros((len(f), 0), np.int64)
-            for who, ids, scores in search_block(load(part), part["vec_id"].to_numpy(), load(rows), rows["vec_id"].to_numpy(), k):
-                out.append(pd.DataFrame({"query_id": who, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    best = q.groupBy("g", "s").cogroup(c.groupBy("g", "s")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        size_q, size_c = left["vec"].map(len), right["vec"].map(len)
+        for size in sorted({*size_q} & {*size_c}):
+            a, b = left[size_q == size], right[size_c == size]
+            ids, rows_a = b["vec_id"].to_numpy(), a["r"].to_numpy()
+            found = search_block(_longs(a["vec"].tolist(), size // 8), rows_a, a["bound"].to_numpy(), _longs(b["vec"].tolist(), size // 8), b["r"].to_numpy(), ids, k)
+            for i, j, score in found:
+                out.append(pd.DataFrame({"r": rows_a[i], "query_id": a["vec_id"].to_numpy()[i], "vec_id": ids[j], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"r": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+
+    best = q.groupBy("g", "s").cogroup(c.groupBy("g", "s")).applyInPandas(meet, "r long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("r").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

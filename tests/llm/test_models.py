@@ -2,12 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltgauge.llm import common, html, langid, quality, toxicity, vectors
+from siltgauge.llm import common, html, langid, quality, queries, toxicity, vectors
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -119,14 +120,44 @@ def test_top_k_matches_brute_force(spark):
 
 def test_search_block_with_wide_integers():
     rng = np.random.default_rng(1)
-    rows, q = rng.integers(-(2**28), 2**28, (50, 12)), rng.integers(-(2**28), 2**28, (5, 12))
-    ids = np.arange(50)
-    for who, found, scores in vectors.search_block(q, ids[:5], rows, ids, 7, 4, 2):
-        for w in set(who.tolist()):
-            best = sorted((-sum(int(a) * int(b) for a, b in zip(q[w], rows[k])), k) for k in range(50) if k != w)[:7]
-            assert [(-s, k) for s, k in zip(scores[who == w].tolist(), found[who == w].tolist())] == best
+    rows = rng.integers(-(2**28), 2**28, (40, 5))
+    ids, row = np.arange(40)[::-1].copy(), np.arange(40)
+    q = rows[:5]
+    for bound in (np.full(5, -np.inf), np.array([float(np.sort(np.delete(rows @ x, k))[-7]) for k, x in enumerate(q)])):
+        for i, j, score in vectors.search_block(q, row[:5], bound, rows, row, ids, 7, 4, 2):
+            for k in set(i.tolist()):
+                best = sorted((-int(q[k] @ v), int(w)) for x, (v, w) in enumerate(zip(rows, ids)) if x != k)[:7]
+                assert [(-s, w) for s, w in best] == list(zip(score[i == k].tolist(), ids[j[i == k]].tolist()))
 
 
+def test_pairs_leave_the_search_before_its_end():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 64))
+    rows = np.floor(64 * (centres[rng.integers(0, 60, 4000)] + 0.2 * rng.normal(size=(4000, 64)))).astype(np.int64)
+    q, row = rows[:100], np.arange(4000)
+    shares: list = []
+    got = [(row[:100][i], j, s) for i, j, s in vectors.search_block(q, row[:100], np.full(100, -np.inf), rows, row, row, 20, shares=shares)]
+    assert sum(len(x[0]) for x in got) == 2000
+    for k in range(0, 100, 9):
+        best = sorted((-int(q[k] @ v), x) for x, v in enumerate(rows) if x != k)[:20]
+        mine = [(-int(s), int(j)) for i, js, ss in got for w, j, s in zip(i, js, ss) if w == k]
+        assert mine == best
+    assert min(s for e, s in shares if e <= 48) < 0.5 and min(s for _, s in shares) < 0.06
+
+
+def test_rows_that_repeat_an_id_are_rows_of_their_own(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), rng.normal(size=3).tolist(), int(k) % 2) for k in [20, 40, 40, 3, 5, 5, 60, 60, 7]]
+    rows += [(80, rows[1][1], 0), (81, [v * 1.001 for v in rows[1][1]], 0), (40, [v * 1.002 for v in rows[2][1]], 0), (90, None, 0), (91, [0.0, 0.0, 0.0], 0), (92, rows[0][1], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("op10_top_k", "op4_cover_tree"):
+        got = sorted(map(repr, (tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())))
+        want = sorted(map(repr, con.execute(queries.ORACLES[name]).fetchall()))
+        assert got == want and len(got) >= len(rows) - 1, name
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(25)] + [(300, k) for k in range(301, 360)]
