@@ -10,7 +10,8 @@ the order, which changes the work but never the pairs found.
 Pairs that meet are held against each other by sketches, counts of shingles in buckets of the hash
 range: the sum of the lesser counts is at least the number of shared shingles. Pairs for which that
 leaves room are verified on whole sets. Sets of a key are linked to its first set; then only sets of
-a key that are still unconnected are paired off.
+a key that are still unconnected are compared: as pairs where these are a bounded number for each set,
+else block by block inside tasks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .simhash import near_links, surviving, vote
 
 #: Similarity as a fraction of whole numbers, so that limits are exact.
 NUM, DEN = 4, 5
+#: A key that would give more than PAIRS pairs for each of its sets is compared in blocks of about BLOCK sets.
+PAIRS, BLOCK = 32, 512
 
 
 def shingle_hashes(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -132,8 +135,8 @@ def _promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, slim: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of set digests whose sets are as similar as asked for."""
+def _whole(ids: DataFrame, slim: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(s, x): the whole sets of the digests s."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -141,11 +144,15 @@ def _verified(pairs: DataFrame, slim: DataFrame, sets: DataFrame, words: int) ->
                 part = pdf.iloc[at : at + 1000]
                 yield pd.DataFrame({"s": part["s"].array, "x": [shingle_hashes(t, words) for t in part["text"]]})
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    texts = sets.join(ids, "s", "left_semi").select("s", F.col("who.t").alias("t"))
+    texts = sets.join(ids.select("s").distinct(), "s", "left_semi").select("s", F.col("who.t").alias("t"))
     # equal hashes have equal texts, so any row with it will do
     held = slim.withColumn("t", F.xxhash64("text")).join(texts, "t").groupBy("s").agg(F.first("text").alias("text"))
-    whole = durable(held.mapInPandas(tidy(run), "s long, x array<long>"))
+    return durable(held.mapInPandas(tidy(run), "s long, x array<long>"))
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of set digests whose sets are as similar as asked for."""
+    whole = _whole(pairs.select(F.explode(F.array("a", "b")).alias("s")), slim, sets, words)
     both = pairs.join(whole.select(F.col("s").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("s").alias("b"), F.col("x").alias("xb")), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
     return both.where((NUM + DEN) * shared >= NUM * (F.size("xa") + F.size("xb"))).select("a", "b")
@@ -164,20 +171,67 @@ def _groups(slim: DataFrame, sets: DataFrame, words: int) -> DataFrame:
     side = lambda x: head.select(F.col("fp").alias(x), F.col("h").alias(f"h{x}"))
     alike = links.join(side("a"), "a").join(side("b"), "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
     alike = alike.union(sets.join(head, "fp").where("s <> h").select(F.col("h").alias("a"), F.col("s").alias("b")))
-    stars = durable(stars.union(alike).distinct())
-    comp = components(durable(_verified(durable(_promising(stars, sets)), slim, sets, words)))
-    comp = durable(comp)
-    named = met.select("key", "s", "na").join(comp.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "na", F.coalesce("component", "s").alias("c"))
-    other = named.select("key", F.col("s").alias("q"), F.col("na").alias("qna"), F.col("c").alias("qc"))
-    rest = named.join(other, "key").where("s < q AND c <> qc").where(_may_link("na", "qna")).select(F.col("s").alias("a"), F.col("q").alias("b")).distinct()
-    rest = durable(_promising(rest.join(stars, ["a", "b"], "left_anti"), sets))
-    more = _verified(rest, slim, sets, words)
+    done = durable(stars.union(alike).distinct())
+    comp = durable(components(durable(_verified(durable(_promising(done, sets)), slim, sets, words))))
+    named = lambda: met.select("key", "s", "na").join(comp.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s"))
+    own = F.count(F.lit(1)).over(Window.partitionBy("key", "c"))
+    every = named().withColumn("own", own).withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w), "m": F.count(F.lit(1)).over(w), "same": F.sum("own").over(w)})
+    every = every.where("low < high").withColumn("many", F.expr(f"(m * m - same) / 2 > {PAIRS} * m"))
+    every = durable(every.select("key", "s", "na", "c", "m", "many"))
+    few = every.where("not many")
+    other = few.select("key", F.col("s").alias("q"), F.col("na").alias("qna"), F.col("c").alias("qc"))
+    rest = few.join(other, "key").where("s < q AND c <> qc").where(_may_link("na", "qna")).select(F.col("s").alias("a"), F.col("q").alias("b")).distinct()
+    rest = durable(_promising(rest.join(done, ["a", "b"], "left_anti"), sets))
+    links = _verified(rest, slim, sets, words).union(_in_blocks(every.where("many"), slim, sets, words))
+    return _grown(comp, links).select(F.col("node").alias("s"), "component")
+
+
+def _in_blocks(rows: DataFrame, slim: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) that connect whatever links connect among the sets of each key; rows has key, s, na, c and m.
+
+    A key's sets are dealt into blocks of about BLOCK, and two blocks meet in a task with their whole
+    sets. It compares sets of different components only and returns links that join two, so that
+    pairs never become rows.
+    """
+    whole = _whole(rows.select("s"), slim, sets, words)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("s"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.join(whole, "s").select("key", "s", "na", "c", "x", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s")
+        s, mine, x = pdf["s"].to_numpy(), pdf["mine"].to_numpy(), list(pdf["x"])
+        n, at = pdf["na"].to_numpy() >> 32, pdf["na"].to_numpy() & (2**32 - 1)
+        root = np.unique(pdf["c"].to_numpy(), return_inverse=True)[1]
+        out = []
+        for k in range(len(s) - 1):
+            near = (root[k + 1 :] != root[k]) & (DEN * np.minimum(n[k + 1 :], n[k]) >= NUM * np.maximum(n[k + 1 :], n[k]))
+            near &= (NUM + DEN) * np.minimum(n[k + 1 :] - at[k + 1 :], n[k] - at[k]) >= NUM * (n[k + 1 :] + n[k])
+            if key[1] != key[2]:
+                near &= mine[k + 1 :] != mine[k]
+            cand = k + 1 + np.nonzero(near)[0]
+            if not len(cand):
+                continue
+            flat = np.concatenate([x[c] for c in cand])
+            spot = np.minimum(np.searchsorted(x[k], flat), len(x[k]) - 1)
+            shared = np.add.reduceat((x[k][spot] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(n[cand])[:-1])))
+            for c in cand[(NUM + DEN) * shared >= NUM * (n[cand] + n[k])].tolist():
+                if root[c] != root[k]:
+                    out.append((int(s[k]), int(s[c])))
+                    root[root == root[c]] = root[k]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
+
+
+def _grown(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) once further links (a, b) between nodes hold."""
     label = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    top = durable(components(durable(joined)))
-    # components of components; sets that only the second round linked come from top itself
-    lower = comp.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("node").alias("s"), F.coalesce("top", "component").alias("component"))
-    return lower.union(top.join(comp, "node", "left_anti").select(F.col("node").alias("s"), "component"))
+    joined = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = durable(components(durable(joined.distinct())))
+    # components of components; nodes that only these links have come from top itself
+    lower = comp.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return durable(lower.union(top.join(comp, "node", "left_anti").select("node", "component")))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5) -> DataFrame:

@@ -101,3 +101,28 @@ def test_sketches_never_rule_out_a_similar_pair():
     assert not any(near.may_share(near.sketch_of(a), near.sketch_of(b), len(a), len(b)) for a in far for b in far if a is not b)
     same = np.arange(1000)  # all in one bucket, more than a byte counts
     assert near.may_share(near.sketch_of(same), near.sketch_of(same), 1000, 1000)
+
+
+def test_blocks_and_pairs_find_the_same_groups(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(70):  # copies around the similarity asked for, so that many of one key are unconnected
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = []
+    for pairs, block in ((32, 512), (0, 9)):
+        monkeypatch.setattr(near, "PAIRS", pairs)
+        monkeypatch.setattr(near, "BLOCK", block)
+        kept.append(sorted(r["doc_id"] for r in near.keep_one(docs).collect()))
+    sets = [set(near.shingle_hashes(t).tolist()) for t in texts]
+    up = list(range(70))
+    for i in range(70):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    assert kept[0] == kept[1] == sorted(set(up)) and 2 < len(kept[0]) < 69
