@@ -77,10 +77,12 @@ def widen(df: DataFrame, fn: Callable, extra: str, last: Callable | None = None,
 
     Columns of df whose names clash with new ones are replaced. last runs when a task ends.
     Columns in drop are only read: they never travel back. Batches are worked through by rows.
+    Whole numbers travel as text, as pandas would make those beside a null inexact.
     """
     new = T.StructType.fromDDL(extra)
     kept = [c for c in df.columns if c not in new.fieldNames() and c not in drop]
-    base = df.select(*[F.col(f"`{c}`") for c in df.columns])
+    whole = {f.name for f in df.schema.fields if f.name in kept and isinstance(f.dataType, T.LongType)}
+    base = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in whole else F.col(f"`{c}`") for c in df.columns])
     schema = T.StructType([f for f in base.schema.fields if f.name in kept] + new.fields)
 
     def run(batches: Iterator):
@@ -89,7 +91,8 @@ def widen(df: DataFrame, fn: Callable, extra: str, last: Callable | None = None,
                 part = pdf.iloc[at : at + rows]
                 yield part[kept].assign(**fn(part))
 
-    return base.mapInPandas(tidy(run, last), schema)
+    out = base.mapInPandas(tidy(run, last), schema)
+    return out.select(*[F.col(f"`{c}`").cast("long").alias(c) if c in whole else F.col(f"`{c}`") for c in out.columns])
 
 
 class Table:

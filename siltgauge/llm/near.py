@@ -100,11 +100,12 @@ def _sets(slim: DataFrame, words: int, common: np.ndarray) -> DataFrame:
                 sets = [shingle_hashes(t, words) for t in part["text"]]
                 digests = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
                 fp = np.array([vote(x.view(np.uint64)) for x in sets], np.uint64).view(np.int64)
-                known = {"doc_id": part["doc_id"].astype("Int64").array, "t": part["t"].array, "s": digests, "n": [len(x) for x in sets]}
+                known = {"doc_id": part["doc_id"].array, "t": part["t"].array, "s": digests, "n": [len(x) for x in sets]}
                 yield pd.DataFrame(known | {"keys": [keys_of(x, common) for x in sets], "fp": fp, "sketch": [sketch_of(x) for x in sets]})
 
-    shape = "doc_id long, t long, s long, n int, keys array<long>, fp long, sketch binary"
-    rows = slim.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInPandas(tidy(run), shape)
+    shape = "doc_id string, t long, s long, n int, keys array<long>, fp long, sketch binary"
+    # ids travel as text, as pandas would make those beside a null inexact
+    rows = slim.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInPandas(tidy(run), shape).withColumn("doc_id", F.col("doc_id").cast("long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), "t")).alias("who")
     return rows.groupBy("s").agg(*[F.first(c).alias(c) for c in ("n", "keys", "fp", "sketch")], first)
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null, durable
+from .common import column_or_null, durable, widen
 from .langid import held_out
 from .toxicity import labelled_sample, logistic
 
@@ -240,12 +240,9 @@ def rate(docs: DataFrame, model: CoModel) -> DataFrame:
     classes every score is 0.5.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                p = model.score(*_views(part))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "held_out": part["held_out"].array, "score": p, "predicted": (p >= 0.5).astype("int32")})
+    def run(pdf: pd.DataFrame) -> dict:
+        p = model.score(*_views(pdf))
+        return {"score": p, "predicted": (p >= 0.5).astype("int32")}
 
     slim = _slim(docs).withColumn("held_out", held_out(F.col("doc_id")))
-    return slim.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return widen(slim, run, "score double, predicted int", drop=("text", "source", "lang", "n_chars")).select("doc_id", "held_out", "score", "predicted")

@@ -92,14 +92,14 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken FROM r
     """,
     "op4_cover_tree": """
-        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
-        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
-        low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
-        n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
-        SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, coalesce(low.component_id, e.vec_id) AS component_id, e.vec_id = coalesce(low.component_id, e.vec_id) AS kept
-        FROM embeddings e LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
+        WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        v AS (SELECT * FROM e WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+        p AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+        reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+        low AS (SELECT reach.a AS r, min(v.vec_id) AS low FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+        n AS (SELECT a AS r, count(*) AS n_links FROM p GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, coalesce(low.low, e.vec_id) AS component_id, e.vec_id = coalesce(low.low, e.vec_id) AS kept
+        FROM e LEFT JOIN low USING (r) LEFT JOIN n USING (r)
     """,
     "op6_suffix_dedup": """
         WITH h AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

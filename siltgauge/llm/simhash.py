@@ -170,14 +170,15 @@ def link_buckets(key: np.ndarray, fp: np.ndarray, most: int) -> list[np.ndarray]
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4) -> DataFrame:
     """(doc_id, t, fp): t is a hash of the text and fp the fingerprint, both as signed longs."""
     slim = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, text, "string").alias("text"))
-    slim = slim.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    slim = slim.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, words) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "t": pdf["t"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "t": pdf["t"], "fp": fp.view(np.int64)})
 
-    return slim.mapInPandas(tidy(run), "doc_id long, t long, fp long")
+    # ids travel as text, as pandas would make those beside a null inexact
+    return slim.mapInPandas(tidy(run), "doc_id string, t long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:

@@ -43,7 +43,7 @@ PLACE = np.uint64((1 << 21) - 1)
 BLOCK_BYTES = 1 << 20
 NO_ID = -(2**63) + 1  # stands for a null doc_id
 MOST_CONTEXTS = 512
-PIECE = "h long, d long, t int, first long, data binary, single boolean, hot boolean"
+PIECE = "h long, d long, t long, first long, data binary, single boolean, hot boolean"
 
 
 @lru_cache(4)
@@ -255,7 +255,7 @@ def _anchors(keyed: DataFrame, length: int) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
-                d, t = part["d"].to_numpy(np.int64), part["t"].to_numpy(np.int32)
+                d, t = part["d"].to_numpy(np.int64), part["t"].to_numpy(np.int64)
                 which, h, c, first, n = contexts([x.encode("utf-8", "replace") for x in part["text"]], length)
                 order = np.lexsort((first, c, which))
                 which, h, c, first, n = which[order], h[order], c[order], first[order], n[order]
@@ -274,7 +274,7 @@ def _anchors(keyed: DataFrame, length: int) -> DataFrame:
                     yield pd.DataFrame(rows, columns=["h", "c", "d", "t", "at", "times"])
 
     # texts with fewer bytes have no window; the JVM drops them
-    return keyed.where(F.octet_length("text") >= length).select("d", "t", "text").mapInPandas(tidy(run), "h long, c long, d long, t int, at long, times long")
+    return keyed.where(F.octet_length("text") >= length).select("d", "t", "text").mapInPandas(tidy(run), "h long, c long, d long, t long, at long, times long")
 
 
 def _index_blocks(pieces: DataFrame, length: int) -> DataFrame:
@@ -304,19 +304,19 @@ def _index_blocks(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield done(held)
 
-    return pieces.repartition("h").sortWithinPartitions("h").mapInPandas(tidy(run), "d long, t int, b long, e long")
+    return pieces.repartition("h").sortWithinPartitions("h").mapInPandas(tidy(run), "d long, t long, b long, e long")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """(keyed, spans): keyed has d, t, text for every row of docs (columns doc_id, text and any others);
     spans has one row per (d, t) with removed bytes: an array of (b, e).
 
-    t is a hash of the text, so that rows that share a doc_id are told apart by their text and
+    t is a 64-bit hash of id and text, so that rows that share a doc_id are told apart by their text and
     equal rows, which are each other's copies, share their spans. d is never null.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.hash("doc_id", text).alias("t"), text.alias("text"), *more)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("doc_id", text).alias("t"), text.alias("text"), *more)
     every = durable(_anchors(keyed, length))
     rows = every.where("times > 0")
     # most anchors occur once in the corpus; they go before anything else is counted
@@ -408,7 +408,7 @@ def _count_windows(pieces: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pd.DataFrame(dict(zip("dtbwvs", map(np.concatenate, zip(*out)))))
 
-    windows = durable(pieces.mapInPandas(tidy(count), "d long, t int, b long, w long, v long, s boolean"))
+    windows = durable(pieces.mapInPandas(tidy(count), "d long, t long, b long, w long, v long, s boolean"))
     twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     return windows.where("s").join(twice, ["w", "v"], "left_semi").select("d", "t", "b", (F.col("b") + length).alias("e"))
 
@@ -421,13 +421,14 @@ def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
     shorter than ``length`` bytes stay whole; a repeated row is a copy of its other and both go.
     """
     more = {f"__carried{k}": c for k, c in enumerate(carry)}
-    slim = docs.select(column_or_null(docs, doc_id, "long").alias("doc_id"), column_or_null(docs, text, "string").alias("text"), *[F.col(f"`{c}`").alias(a) for a, c in more.items()])
+    own = column_or_null(docs, doc_id, "long")
+    slim = docs.select(own.alias("doc_id"), own.cast("string").alias("__id"), column_or_null(docs, text, "string").alias("text"), *[F.col(f"`{c}`").alias(a) for a, c in more.items()])
     keyed, spans = repeated_spans(slim, length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for d, x, found in zip(pdf["d"], pdf["text"], pdf["spans"]):
+            for x, found in zip(pdf["text"], pdf["spans"]):
                 data = x.encode("utf-8", "replace")
                 gone = merge([(s["b"], s["e"]) for s in found]) if found is not None else []
                 parts, at = [], 0
@@ -435,11 +436,13 @@ def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
                     parts.append(data[at:b])
                     at = e
                 kept = b"".join([*parts, data[at:]])
-                row = (None if d == NO_ID else d, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+                row = (len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
-            yield frame.assign(doc_id=pd.array([r[0] for r in out], "Int64"), **{a: pdf[a].array for a in more})
+            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+            yield frame.assign(doc_id=pdf["__id"].array, **{a: pdf[a].array for a in more})
 
-    shape = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    shape = T.StructType.fromDDL("doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
     shape = T.StructType(shape.fields + [T.StructField(a, docs.schema[c].dataType) for a, c in more.items()])
-    return keyed.join(spans, ["d", "t"], "left").mapInPandas(tidy(run), shape).withColumnsRenamed(more)
+    # ids travel as text, as pandas would make those beside a null inexact
+    out = keyed.join(spans, ["d", "t"], "left").mapInPandas(tidy(run), shape)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumnsRenamed(more)

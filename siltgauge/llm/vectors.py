@@ -158,14 +158,15 @@ def near_vectors(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id", emb
     links and spanning edges, never all pairs.
 
     Defined cases: vectors that are null, zero, or hold null or non-finite components, and null
-    labels, link with nothing; vectors of different lengths never link; repeated rows are
-    copies of each other; a null vec_id has a component of its own.
+    labels, link with nothing; vectors of different lengths never link; each row is a vector of its
+    own, so that repeated rows are copies that link and rows that only share a vec_id are told
+    apart; a null vec_id has a component of its own; other columns are left out.
     """
     packed = durable(_pack(_table(df, vec_id, embedding, label), False))
     solid = packed.where("vec IS NOT NULL AND label IS NOT NULL AND translate(hex(vec), '0', '') <> ''")  # zeros are no direction
-    reps = durable(solid.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")).withColumn("node", F.xxhash64("label", "vec", "rep")))
+    reps = durable(solid.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")).withColumn("node", F.monotonically_increasing_id()))
     sizes = reps.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("shards"))
-    dealt = reps.join(sizes, "label").withColumn("mine", F.pmod(F.col("node"), F.col("shards")))
+    dealt = reps.join(sizes, "label").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shards")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
     dealt = dealt.select("label", "node", "times", "vec", "mine", other.alias("other"))
     dealt = dealt.select("label", "node", "times", "vec", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))

@@ -11,6 +11,8 @@ import pytest
 import tokenizers
 import xxhash
 
+from pyspark.sql import functions as F
+
 from siltgauge.llm import bpe, mixing, simhash, suffix
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -310,3 +312,24 @@ def test_forest_connects_dense_fingerprints():
         up[root(b)] = root(a)
     groups = Counter(root(f) for f in fps)
     assert sorted(groups.values()) == sorted(Counter(components(fps)).values())
+
+
+def test_long_texts_null_ids_and_clashing_columns(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    long, passage = make(600_000), make(450)
+    long = long[:300_000] + passage + long[300_000:] + long[1000:1700]  # longer than what is hashed at a time
+    rows = [(1, long, "x", 1), (2, f"before {passage} after", "y", 2), (-(2**63) + 1, passage[:250] + "!", "z", 3)]
+    rows += [(None, f"text number {k} " + make(220), "z", k) for k in range(3000)] + [(None, passage, "z", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string, t int").withColumn("spans", F.lit(1)).withColumn("__h", F.lit(2))
+    got = suffix.cut_repeats(df).collect()
+    by_bytes = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got if r["n_removed"]}
+    gone = {passage[k : k + 200] for k in range(251)} | {long[1000 + k : 1200 + k] for k in range(501)}
+    want = set()
+    for i, text, *_ in rows[:3] + rows[-1:]:
+        cover = bytearray(len(text))
+        for k in range(len(text) - 199):
+            if text[k : k + 200] in gone:
+                cover[k : k + 200] = b"\1" * 200
+        want.add((i, len(text), sum(cover)))
+    assert by_bytes == want and len(got) == len(rows)
