@@ -83,8 +83,12 @@ def is_test_name(name: Column, patterns: tuple[str, ...] = ("for_test", "forTest
 
 
 TEST_PATH = r"(^|/)(tests?|__tests__|testing)/|(^|/)(test_[^/]*|conftest)\.py$|_test\.(py|rs)$|(^|/)tests\.(py|rs)$|\.(test|spec)\.[cm]?[jt]sx?$"
-CONFIG_PATH = r"(^|/)[^/]*\.config\.[cm]?[jt]s$|(^|/)(vite|vitest|jest|webpack|rollup|tsup|eslint|prettier|babel)[^/]*\.[cm]?[jt]s$|(^|/)\.[^/]*rc\.[cm]?[jt]s$|(^|/)(build|setup)\.(rs|py)$"
-FRAMEWORK_IMPORT = r"^(@angular|@nestjs|react|vue|svelte|typeorm|mobx|lit|fastapi|flask|django|starlette|click|typer|pydantic|sqlalchemy|celery|attrs?|pytest|rocket|axum|serde|actix[-_]web)(\W|$)"
+# File names of tools, and imports whose files may have more decorators.
+CONFIG_PATH = r"\.config\.(ts|js|mjs|cjs)$|\.eslintrc\.(js|cjs|json)$|\.prettierrc\.(js|cjs|json)$"
+FRAMEWORKS = {
+    "typescript": ("@nestjs/", "@angular/", "@Component", "@NgModule", "@Entity", "@Injectable", "@Controller", "@Service", "@dataclass", "@pydantic"),
+    "python": ("dataclasses", "pydantic", "attr", "attrs", "sqlalchemy", "django", "flask", "fastapi", "typing_extensions"),
+}
 
 
 def is_test_path(path: Column) -> Column:
@@ -95,8 +99,13 @@ def is_config_path(path: Column) -> Column:
     return path.rlike(CONFIG_PATH)
 
 
-def is_framework_heavy(imports: Column) -> Column:
-    return F.coalesce(F.exists(imports, lambda i: i.rlike(FRAMEWORK_IMPORT)), F.lit(False))
+def is_framework_heavy(imports: Column, language: Column) -> Column:
+    """Whether an import holds the name of a framework of its language."""
+    out = F.lit(False)
+    for name, parts in FRAMEWORKS.items():
+        holds = F.exists(imports, lambda i: F.greatest(*[i.contains(p) for p in parts]))  # noqa: B023
+        out = F.when(language == name, F.coalesce(holds, F.lit(False))).otherwise(out)
+    return out
 
 
 def evidence_map(lines: Column) -> Column:

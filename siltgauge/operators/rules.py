@@ -17,7 +17,10 @@ from ..functions import scalars as S
 from ..thresholds import NORMAL, Limits
 
 STRUCT = "struct<kind:string,severity:string,confidence:double,evidence:map<string,string>,estimated_tokens:bigint>"
-COMPILER_NAMES = ("React", "Fragment", "h", "annotations", "TYPE_CHECKING", "self", "Self")
+#: Names that a compiler uses where no identifier shows it; languages not listed have none.
+COMPILER_NAMES = {"typescript": ("React", "Fragment", "jsx", "jsxs")}
+#: Rules whose evidence shows where to look.
+SHOWN = ("error-swallow", "dangerous-pattern", "stringly-typed")
 
 
 def finding(kind: str, fires: Column, severity: Column | str, confidence: Column | float, evidence: dict[str, Column], tokens: Column | None = None) -> Column:
@@ -50,12 +53,12 @@ def branch_density(L: Limits) -> Column:
 
 def deep_nesting(L: Limits) -> Column:
     d = F.col("max_nesting_depth")
-    return finding("deep-nesting", d > L.nesting_depth, S.severity_offset(d, L.nesting_depth, offsets=(4, 2)), 0.85, {"max_depth": d, "limit": F.lit(L.nesting_depth)})
+    return finding("deep-nesting", d > L.nesting_depth, S.severity_offset(d, L.nesting_depth, offsets=(4, 2)), 0.85, {"max_depth": d, "limit": F.lit(L.nesting_depth), "deepest_at": F.lit("unknown")})
 
 
 def type_complexity(L: Limits) -> Column:
     d = F.col("max_type_depth")
-    return finding("type-complexity", d > L.type_depth, S.severity_offset(d, L.type_depth), 0.50, {"max_type_depth": d, "limit": F.lit(L.type_depth)})
+    return finding("type-complexity", d > L.type_depth, S.severity_offset(d, L.type_depth), 0.50, {"max_type_depth": d, "limit": F.lit(L.type_depth), "location": F.lit("unknown")})
 
 
 def comment_ratio(L: Limits) -> Column:
@@ -74,19 +77,19 @@ def implicit_control(L: Limits, framework: Column | None = None) -> Column:
     return finding("implicit-control", x > limit, severity, 0.40, {"decorator_count": d, "function_count": f, "ratio": F.format_string("%.3f", x), "limit": F.format_string("%.3f", limit)})
 
 
-def error_swallow(L: Limits) -> Column:
+def error_swallow(L: Limits, preview: Column | None = None) -> Column:
     n = F.col("empty_catch_count")
-    return finding("error-swallow", n > L.empty_catch, S.ladder(n, (5, "High"), (3, "Medium"), otherwise="Low"), 0.75, {"empty_catch_count": n, "limit": F.lit(L.empty_catch)})
+    return finding("error-swallow", n > L.empty_catch, S.ladder(n, (5, "High"), (3, "Medium"), otherwise="Low"), 0.75, {"empty_catch_count": n, "limit": F.lit(L.empty_catch), "preview": F.lit(None) if preview is None else preview})
 
 
-def dangerous_pattern(L: Limits) -> Column:
+def dangerous_pattern(L: Limits, preview: Column | None = None) -> Column:
     n = F.col("dangerous_pattern_count")
-    return finding("dangerous-pattern", n > L.dangerous_pattern, S.severity_scale(n, L.dangerous_pattern), 0.70, {"dangerous_pattern_count": n, "limit": F.lit(L.dangerous_pattern)})
+    return finding("dangerous-pattern", n > L.dangerous_pattern, S.severity_scale(n, L.dangerous_pattern), 0.70, {"dangerous_pattern_count": n, "limit": F.lit(L.dangerous_pattern), "preview": F.lit(None) if preview is None else preview})
 
 
-def stringly_typed(L: Limits) -> Column:
+def stringly_typed(L: Limits, preview: Column | None = None) -> Column:
     n = F.col("string_comparison_count")
-    return finding("stringly-typed", n > L.string_comparison, S.severity_scale(n, L.string_comparison, ("High", "Medium", "Low")), 0.65, {"string_comparison_count": n, "limit": F.lit(L.string_comparison)})
+    return finding("stringly-typed", n > L.string_comparison, S.severity_scale(n, L.string_comparison, ("High", "Medium", "Low")), 0.65, {"string_comparison_count": n, "limit": F.lit(L.string_comparison), "preview": F.lit(None) if preview is None else preview})
 
 
 def import_diversity(L: Limits, dotted: Column | bool = False) -> Column:
@@ -124,9 +127,10 @@ def reexport_entropy(L: Limits, least: int = 3, any_of: bool = False) -> Column:
     return finding("reexport-entropy", fires, severity, 0.80, {"reexport_count": n, "total_items": items, "has_wildcard": wild})
 
 
-def unused_import(least: int = 2, medium: int = 5, compiler_names: tuple[str, ...] = COMPILER_NAMES) -> Column:
+def unused_import(least: int = 2, medium: int = 5, compiler_names: tuple[str, ...] = COMPILER_NAMES["typescript"], language: Column | None = None) -> Column:
     """Imported names that no identifier repeats; duplicates count, so this is no set difference."""
-    unused = F.filter("imported_names", lambda x: ~F.array_contains(F.col("identifiers"), x) & ~x.isin(*compiler_names))
+    known = lambda x: x.isin(*compiler_names) if language is None else (language == "typescript") & x.isin(*compiler_names)
+    unused = F.filter("imported_names", lambda x: ~F.array_contains(F.col("identifiers"), x) & ~known(x))
     n = F.coalesce(F.size(unused), F.lit(0))
     return finding("unused-import", n >= least, S.ladder(n, (medium, "Medium"), otherwise="Low"), 0.65, {"unused_count": n, "preview": F.array_join(F.slice(unused, 1, 5), ", ")})
 
@@ -164,7 +168,8 @@ def run_rules(facts: DataFrame, limits: Limits = NORMAL, columns: dict[str, Colu
 
     columns replaces or adds rules by name.
     """
-    made = {k: f(limits) for k, (f, needs) in RULES.items() if set(needs) <= set(facts.columns)}
+    preview = {"preview": F.col("rel_path" if "rel_path" in facts.columns else path)}
+    made = {k: f(limits, **(preview if k in SHOWN else {})) for k, (f, needs) in RULES.items() if set(needs) <= set(facts.columns)}
     made |= columns or {}
     every = F.filter(F.array(*[c.cast(STRUCT) for c in made.values()]), lambda x: x.isNotNull())
     return facts.select(F.col(path).alias("path"), F.explode(every).alias("f")).select("path", "f.*")

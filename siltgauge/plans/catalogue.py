@@ -151,6 +151,56 @@ def reexport_entropy(spark, sf_dir):
     return _fired(orders.withColumn("n_exports", F.size("exports").cast("bigint")), rules.reexport_entropy(NORMAL.but(reexport=100)), "l_orderkey", "n_exports")
 
 
+def unused_import(spark, sf_dir):
+    """Long words as imported names, words before a full stop as identifiers."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    names = F.regexp_extract_all(low, F.lit("[a-z]{9,}"), F.lit(0))
+    facts = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), names.alias("imported_names"), F.regexp_extract_all(low, F.lit(r"([a-z]+)\."), F.lit(1)).alias("identifiers"))
+    rule = rules.unused_import(least=2, medium=5, compiler_names=("something", "anonymous"))
+    found = facts.select("path", rule.alias("f")).where("f IS NOT NULL")
+    return found.select("path", "f.kind", "f.severity", "f.confidence", F.col("f.evidence")["unused_count"].cast("bigint").alias("unused_count"), F.col("f.evidence")["preview"].alias("preview"))
+
+
+def dominant_convention(spark, sf_dir):
+    """Words of texts as identifiers: which conventions mix, and which leads."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z_]+"), F.lit(0))
+    found = _read(spark, sf_dir, "documents").select("doc_id", words.alias("identifiers")).select("doc_id", rules.naming_entropy(conventions=2).alias("f")).where("f IS NOT NULL")
+    return found.select("doc_id", "f.severity", F.col("f.evidence")["dominant_convention"].alias("dominant"), F.col("f.evidence")["mixed_count"].cast("bigint").alias("mixed"))
+
+
+def _bodies(spark, sf_dir):
+    body = F.concat(F.lit("const "), "p_name", F.lit(" = new "), "p_type", F.lit("( "), "p_brand", F.lit(" );\n  if (this) return "), "p_name", F.lit(";"))
+    return _read(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+
+
+def body_keys(spark, sf_dir):
+    """Bodies stripped, and as Type-2 keys with all names but keywords blanked."""
+    return _bodies(spark, sf_dir).select("p_partkey", S.strip_body(F.col("body")).alias("plain"), S.blank_identifiers(F.col("body")).alias("type2"), S.is_test_name(F.col("body"), ("widget", "gear")).alias("named_test"))
+
+
+ENDINGS = (".ts", ".test.ts", "/tests/x.py", ".spec.jsx", "_test.rs", "/conftest.py", "/vite.config.ts", "/jestHelpers.ts", "/.eslintrc.cjs", "/build.py")
+IMPORTS = ("lodash", "@nestjs/core", "@angular/core", "dataclasses", "typing_extensions", "react")
+
+
+def path_predicates(spark, sf_dir):
+    """Which paths are tests or configuration, and which imports are those of a framework."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    part = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("_")), pick(ENDINGS)).alias("path"), F.array(F.lit("x"), pick(IMPORTS)).alias("imports"))
+    heavy = {f"heavy_{k}": S.is_framework_heavy(F.col("imports"), F.lit(k)) for k in ("typescript", "python")}
+    return part.select("p_partkey", "path", S.is_test_path(F.col("path")).alias("is_test"), S.is_config_path(F.col("path")).alias("is_config"), *[v.alias(k) for k, v in heavy.items()])
+
+
+def report_words(spark, sf_dir):
+    """Names, bars and labels of reports."""
+    part, size = _read(spark, sf_dir, "part"), F.col("p_size")
+    share = size / 50
+    return part.select(
+        "p_partkey", S.kebab(F.concat(F.initcap(F.substring_index("p_name", " ", 1)), F.initcap(F.substring_index("p_name", " ", -1)), F.lit("_"), "p_type")).alias("kebab"),
+        S.severity_name(F.col("p_type")).alias("severity"), S.score_bar(size * 2).alias("bar"), S.score_bar(size * 2, rounded=False).alias("bar_floor"),
+        S.score_level(size * 2).alias("level"), S.instability_label(share).alias("label"), S.module_path(F.concat(F.lit("a/src/x/"), "p_type", F.lit("/index.ts"))).alias("module"),
+    )
+
+
 def unused_names(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
     return rules.unused_names(turns.where("role = 'user'"), turns.where("role = 'assistant'"), "conv_id", medium=60)
@@ -174,11 +224,12 @@ def degrees_distinct(spark, sf_dir):
 
 
 def coupling_hotspot(spark, sf_dir):
-    lines = _read(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09").select("l_orderkey", "l_suppkey")
-    buys = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(_read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    pairs = lines.join(buys, F.col("l_orderkey") == F.col("o_orderkey")).join(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = graph.edges_of(pairs.select(F.col("c_nationkey").alias("src_path"), F.col("s_nationkey").alias("dst")))
-    return _fired(graph.degrees(_read(spark, sf_dir, "nation"), edges, "n_nationkey"), rules.coupling_hotspot(NORMAL.but(fan_in=6, fan_out=6)), "path", "fan_in", "fan_out")
+    """Parts and suppliers, linked by all of lineitem."""
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey"))
+    edges = graph.edges_of(_read(spark, sf_dir, "lineitem").select(part.alias("src_path"), supplier.alias("dst")))
+    nodes = _read(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("path"))
+    nodes = nodes.union(_read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey"))))
+    return _fired(graph.degrees(nodes, edges), rules.coupling_hotspot(NORMAL.but(fan_in=515, fan_out=30)), "path", "fan_in", "fan_out")
 
 
 def dead_weight(spark, sf_dir):
@@ -201,8 +252,22 @@ def _hosts(spark, sf_dir):
 
 def prefix_resolve(spark, sf_dir):
     hosts = _hosts(spark, sf_dir)
-    known = hosts.where(F.length("module_path") % 5 != 0).select("module_path", F.col("module_path").alias("path"))
-    return graph.resolve_prefix(hosts.select("src_path", "spec"), known)
+    return graph.resolve_prefix(hosts.select("src_path", "spec"), hosts.select("module_path", F.col("module_path").alias("path")))
+
+
+def prefix_resolve_strict(spark, sf_dir):
+    """Hosts by their first two labels, where what lies below a match must be known too."""
+    hosts = _hosts(spark, sf_dir).select("src_path", "spec", F.substring_index("module_path", ".", 2).alias("short"), "module_path")
+    known = hosts.select(F.col("short").alias("module_path"), F.col("short").alias("path")).union(hosts.where("length(spec) > 22").select("module_path", "module_path"))
+    return graph.resolve_prefix(hosts.select("src_path", "spec"), known, strict_chain=True)
+
+
+def prefix_resolve_scoped(spark, sf_dir):
+    """Hosts resolved among pages of the same language folder only."""
+    folder = F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)/", 1)
+    hosts = _hosts(spark, sf_dir).join(_read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("src_path"), folder.alias("package")), "src_path")
+    known = hosts.select("package", "module_path", F.concat_ws("/", "package", "module_path").alias("path"))
+    return graph.resolve_prefix(hosts.select("package", "src_path", "spec"), known, scoped=True)
 
 
 def referenced_closure(spark, sf_dir):
@@ -272,7 +337,7 @@ def explain_largest(spark, sf_dir):
 
 NAMES = (
     "corpus_scan corpus_totals context_bomb branch_density deep_nesting nesting_window type_complexity comment_ratio implicit_control error_swallow dangerous_pattern stringly_typed "
-    "import_diversity import_domains naming_entropy classify_names reexport_entropy unused_names degrees_edges degrees_distinct coupling_hotspot dead_weight clones_exact clones_type2 prefix_resolve "
+    "import_diversity import_domains unused_import dominant_convention body_keys path_predicates report_words naming_entropy classify_names reexport_entropy unused_names degrees_edges degrees_distinct coupling_hotspot dead_weight clones_exact clones_type2 prefix_resolve prefix_resolve_strict prefix_resolve_scoped "
     "referenced_closure relative_resolve evidence_parse findings_all ranked_findings kind_severity_pivot topk_per_kind priority_targets global_score score_rollup profile_compare report_tsv explain_largest"
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

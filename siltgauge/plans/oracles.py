@@ -71,6 +71,8 @@ def _score(where: str) -> str:
     return f"CAST(least(round(coalesce(CAST(sum(CASE WHEN {where} THEN CAST({WEIGHT} * CAST(confidence AS DECIMAL(18,6)) AS DECIMAL(18,6)) END) AS DOUBLE), 0) / greatest((SELECT count(*) FROM facts) * 0.4, 1.0)::DOUBLE * 100), 100) AS INTEGER)"
 
 
+KEYWORDS = "'if', 'else', 'for', 'while', 'do', 'switch', 'case', 'break', 'continue', 'return', 'try', 'catch', 'finally', 'throw', 'new', 'typeof', 'instanceof', 'in', 'of', 'var', 'let', 'const', 'function', 'class', 'extends', 'super', 'this', 'import', 'export', 'default', 'async', 'await', 'yield', 'null', 'undefined', 'true', 'false', 'void', 'delete', 'fn', 'match', 'loop', 'impl', 'struct', 'enum', 'trait', 'pub', 'use', 'mod', 'where', 'mut', 'ref', 'move', 'self', 'static', 'type', 'as'"
+
 ORACLES: dict[str, str] = {
     "corpus_scan": """SELECT doc_id, CAST(strlen(t) AS BIGINT) AS size_bytes, CAST(length(t) - length(replace(t, chr(10), '')) + 1 - CASE WHEN t = '' OR suffix(t, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count,
         strlen(t) // 4 AS tokens_floor, CAST(floor(strlen(t) / 4 + 0.5) AS BIGINT) AS tokens_round FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
@@ -104,22 +106,56 @@ ORACLES: dict[str, str] = {
             WHEN regexp_matches(x, '^[a-z]') AND regexp_matches(x, '[A-Z]') THEN 'camel' WHEN regexp_matches(x, '^[A-Z]') AND regexp_matches(x, '[a-z]') THEN 'pascal' ELSE 'other' END AS convention, count(*) AS n FROM n GROUP BY 1""",
     "reexport_entropy": """WITH o AS (SELECT l_orderkey, count(*) AS n_exports, sum(CAST(trunc(l_quantity) AS BIGINT)) AS items, bool_or(l_returnflag = 'R') AS wild FROM lineitem GROUP BY l_orderkey)
         SELECT l_orderkey, n_exports, 'reexport-entropy' AS kind, CASE WHEN wild OR items >= 300 THEN 'High' WHEN items >= 100 THEN 'Medium' ELSE 'Low' END AS severity, 0.8::DOUBLE AS confidence FROM o WHERE wild OR (n_exports >= 3 AND items >= 100)""",
+    "unused_import": r"""WITH w AS (SELECT doc_id AS path, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{9,}') AS names, regexp_extract_all(lower(coalesce(text, '')), '([a-z]+)[.]', 1) AS ids FROM documents),
+        u AS (SELECT path, list_filter(names, lambda x: NOT list_contains(ids, x) AND x NOT IN ('something', 'anonymous')) AS un FROM w)
+        SELECT path, 'unused-import' AS kind, CASE WHEN len(un) >= 5 THEN 'Medium' ELSE 'Low' END AS severity, 0.65::DOUBLE AS confidence, CAST(len(un) AS BIGINT) AS unused_count,
+            array_to_string(un[1:5], ', ') AS preview FROM u WHERE len(un) >= 2""",
+    "dominant_convention": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_]+')) AS x FROM documents),
+        k AS (SELECT doc_id, CASE WHEN length(x) < 3 THEN 'other' WHEN contains(x, '_') AND NOT regexp_matches(x, '[A-Z]') THEN 'snake' WHEN contains(x, '_') AND NOT regexp_matches(x, '[a-z]') THEN 'screaming'
+              WHEN regexp_matches(x, '^[a-z]') AND regexp_matches(x, '[A-Z]') THEN 'camel' WHEN regexp_matches(x, '^[A-Z]') AND regexp_matches(x, '[a-z]') THEN 'pascal' ELSE 'other' END AS c FROM w),
+        n AS (SELECT doc_id, c, count(*) AS n FROM k GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, c) AS nth FROM n)
+        SELECT doc_id, 'Low' AS severity, max(CASE WHEN nth = 1 THEN c END) AS dominant, count(CASE WHEN n > total * 0.05 THEN 1 END) AS mixed FROM r GROUP BY doc_id HAVING max(total) >= 10 AND count(CASE WHEN n > total * 0.05 THEN 1 END) >= 2""",
+    "body_keys": f"""WITH b AS (SELECT p_partkey, 'const ' || p_name || ' = new ' || p_type || '( ' || p_brand || ' );' || chr(10) || '  if (this) return ' || p_name || ';' AS body FROM part),
+        t AS (SELECT *, array_to_string(list_transform(regexp_extract_all(body, '[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+'), lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_$]') AND x NOT IN ({KEYWORDS}) THEN '_' ELSE x END), '') AS blank FROM b)
+        SELECT p_partkey, regexp_replace(body, '[ \\t\\n\\f\\r;]+', '', 'g') AS plain, regexp_replace(blank, '[ \\t\\n\\f\\r;]+', '', 'g') AS type2, contains(body, 'widget') OR contains(body, 'gear') AS named_test FROM t""",
+    "path_predicates": r"""WITH p AS (SELECT p_partkey, 'src/' || replace(p_name, ' ', '_') || ['.ts', '.test.ts', '/tests/x.py', '.spec.jsx', '_test.rs', '/conftest.py', '/vite.config.ts', '/jestHelpers.ts', '/.eslintrc.cjs', '/build.py'][p_partkey % 10 + 1] AS path,
+            ['lodash', '@nestjs/core', '@angular/core', 'dataclasses', 'typing_extensions', 'react'][p_partkey % 6 + 1] AS i FROM part)
+        SELECT p_partkey, path, p_partkey % 10 IN (1, 2, 3, 4, 5) AS is_test, p_partkey % 10 IN (6, 8) AS is_config, starts_with(i, '@nestjs/') OR starts_with(i, '@angular/') AS heavy_typescript, i IN ('dataclasses', 'typing_extensions') AS heavy_python FROM p""",
+    "report_words": r"""WITH p AS (SELECT *, p_size * 2 AS score, upper(p_name[1]) || string_split(p_name, ' ')[1][2:] || '-' || string_split(p_name, ' ')[-1] AS two FROM part)
+        SELECT p_partkey, lower(two || '-' || p_type) AS kebab, p_type[1] || lower(p_type[2:]) AS severity,
+            repeat('█', CAST(round(least(score, 100) / 10.0) AS INTEGER)) || repeat('░', 10 - CAST(round(least(score, 100) / 10.0) AS INTEGER)) AS bar,
+            repeat('█', CAST(floor(least(score, 100) / 10.0) AS INTEGER)) || repeat('░', 10 - CAST(floor(least(score, 100) / 10.0) AS INTEGER)) AS bar_floor,
+            CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'moderate' WHEN score >= 20 THEN 'low' ELSE 'minimal' END AS level,
+            CASE WHEN p_size < 5 THEN 'stable' WHEN p_size > 45 THEN 'volatile' ELSE 'mixed' END AS label, 'x::' || p_type AS module FROM p""",
     "unused_names": """WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM conversations),
         u AS (SELECT conv_id, count(*) AS unused_count FROM w WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM w a WHERE a.role = 'assistant' AND a.conv_id = w.conv_id AND a.name = w.name) GROUP BY conv_id)
         SELECT conv_id, unused_count, CASE WHEN unused_count >= 60 THEN 'Medium' ELSE 'Low' END AS severity FROM u WHERE unused_count >= 2""",
     "degrees_edges": _degrees("SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem"),
     "degrees_distinct": _degrees("SELECT DISTINCT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem"),
-    "coupling_hotspot": """WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-                WHERE l_quantity >= 50 AND l_discount >= 0.09 AND c_nationkey <> s_nationkey),
-        g AS (SELECT n_nationkey AS path, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS fan_in, (SELECT count(*) FROM e WHERE src = n_nationkey) AS fan_out FROM nation)
-        SELECT path, fan_in, fan_out, 'coupling-hotspot' AS kind, CASE WHEN fan_in >= 6 AND fan_out >= 6 AND (fan_in >= 18 OR fan_out >= 12) OR fan_in < 6 AND fan_out >= 18 THEN 'High' ELSE 'Medium' END AS severity,
-            CASE WHEN fan_in >= 6 AND fan_out >= 6 THEN 0.85 WHEN fan_in >= 6 THEN 0.65 ELSE 0.7 END::DOUBLE AS confidence FROM g WHERE fan_in >= 6 OR fan_out >= 6""",
+    "coupling_hotspot": """WITH e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem),
+        i AS (SELECT dst AS path, count(*) AS n FROM e GROUP BY dst), o AS (SELECT src AS path, count(*) AS n FROM e GROUP BY src),
+        v AS (SELECT 'p' || p_partkey AS path FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier),
+        g AS (SELECT path, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM v LEFT JOIN i USING (path) LEFT JOIN o USING (path))
+        SELECT path, fan_in, fan_out, 'coupling-hotspot' AS kind,
+            CASE WHEN fan_in >= 515 AND fan_out >= 30 AND (fan_in >= 1545 OR fan_out >= 60) OR fan_in < 515 AND fan_out >= 90 THEN 'High' ELSE 'Medium' END AS severity,
+            CASE WHEN fan_in >= 515 AND fan_out >= 30 THEN 0.85 WHEN fan_in >= 515 THEN 0.65 ELSE 0.7 END::DOUBLE AS confidence FROM g WHERE fan_in >= 515 OR fan_out >= 30""",
     "dead_weight": f"{ALL} SELECT path, kind, severity, confidence, estimated_tokens FROM found WHERE kind = 'dead-weight'",
     "clones_exact": f"WITH {_clones(EXACT)} SELECT * FROM clones",
     "clones_type2": f"WITH {_clones(TYPE2)} SELECT * FROM clones",
-    "prefix_resolve": f"""WITH {HOSTS}, k AS (SELECT DISTINCT array_to_string(p[1:3], '.') AS m FROM h), known AS (SELECT m FROM k WHERE length(m) % 5 <> 0),
+    "prefix_resolve": f"""WITH {HOSTS}, known AS (SELECT DISTINCT array_to_string(p[1:3], '.') AS m FROM h),
         t AS (SELECT src_path, array_to_string(p, '.') AS spec, m, row_number() OVER (PARTITION BY src_path ORDER BY length(m) DESC) AS nth FROM h JOIN known ON array_to_string(p, '.') = m OR starts_with(array_to_string(p, '.'), m || '.'))
         SELECT src_path, spec, m AS dst FROM t WHERE nth = 1""",
+    "prefix_resolve_strict": f"""WITH {HOSTS}, known AS (SELECT array_to_string(p[1:2], '.') AS m FROM h UNION SELECT array_to_string(p[1:3], '.') FROM h WHERE length(array_to_string(p, '.')) > 22),
+        tree AS (SELECT DISTINCT array_to_string(x[1:k], '.') AS m FROM (SELECT string_split(m, '.') AS x, unnest(range(1, len(string_split(m, '.')) + 1)) AS k FROM known)),
+        t AS (SELECT src_path, array_to_string(p, '.') AS spec, k, array_to_string(p[1:k], '.') AS m FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM h)),
+        best AS (SELECT src_path, max(k) AS k FROM t WHERE m IN (SELECT m FROM known) GROUP BY src_path)
+        SELECT t.src_path, t.spec, t.m AS dst FROM t JOIN best USING (src_path, k)
+        WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.src_path = t.src_path AND u.k > t.k AND u.m NOT IN (SELECT m FROM tree))""",
+    "prefix_resolve_scoped": f"""WITH {HOSTS}, f AS (SELECT h.*, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS package FROM h JOIN pages ON src_path = CAST(page_id AS VARCHAR)),
+        known AS (SELECT DISTINCT package, array_to_string(p[1:3], '.') AS m FROM f),
+        t AS (SELECT src_path, array_to_string(p, '.') AS spec, f.package, m, row_number() OVER (PARTITION BY src_path ORDER BY length(m) DESC) AS nth
+              FROM f JOIN known ON f.package = known.package AND (array_to_string(p, '.') = m OR starts_with(array_to_string(p, '.'), m || '.')))
+        SELECT src_path, spec, package || '/' || m AS dst FROM t WHERE nth = 1""",
     "referenced_closure": f"WITH {HOSTS}, n AS (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM h) SELECT DISTINCT array_to_string(p[1:k], '.') AS module_path FROM n",
     "relative_resolve": """WITH q AS (SELECT p_partkey, lower(replace(p_brand, '#', '')) || '/' || replace(p_name, ' ', '_') || p_partkey AS stem, ['.ts', '.tsx', '/index.ts'][p_size % 3 + 1] AS e FROM part)
         SELECT a.stem || a.e AS src_path, '../' || b.stem AS spec, b.stem || b.e AS dst FROM q a JOIN q b ON b.p_partkey = a.p_partkey + 1 WHERE a.e <> '/index.ts'""",

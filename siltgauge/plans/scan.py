@@ -54,7 +54,7 @@ def edges(facts: DataFrame) -> DataFrame:
     spec = F.explode(F.array_distinct(F.concat(F.coalesce("imports", F.array().cast("array<string>")), F.when(F.col("language") == "typescript", more).otherwise(F.array().cast("array<string>")))))
     imports = base.select("language", F.col("path").alias("src_path"), "rel_path", "module_path", "package", spec.alias("spec"))
     modules = base.select("language", "module_path", "package", "path", "rel_path")
-    py = graph.resolve_prefix(imports.where("language = 'python'"), modules.where("language = 'python' AND module_path <> ''"), ".", skip=graph.STDLIB)
+    py = graph.resolve_prefix(imports.where("language = 'python'"), modules.where("language = 'python' AND module_path <> ''"), ".", skip=graph.STDLIB, strict_chain=True)
     rs_specs = imports.where("language = 'rust'").withColumn("spec", graph.absolute_rust(F.col("spec"), F.col("module_path"))).select("package", "src_path", "spec")
     # files outside any package are one package
     rs = graph.resolve_prefix(rs_specs.na.fill("", ["package"]), modules.where("language = 'rust'").na.fill("", ["package"]), "::", scoped=True)
@@ -70,8 +70,8 @@ def findings(facts: DataFrame, limits: Limits) -> DataFrame:
     good = facts.where("error IS NULL")
     degrees = graph.degrees(good, edges(facts)).withColumnRenamed("path", "g_path")
     wide = good.join(degrees, F.col("path") == F.col("g_path")).drop("g_path")
-    heavy = S.is_framework_heavy(F.col("imports"))
-    own = {"implicit-control": rules.implicit_control(limits, heavy), "import-diversity": rules.import_diversity(limits, F.col("language") == "python")}
+    heavy = S.is_framework_heavy(F.col("imports"), F.col("language"))
+    own = {"implicit-control": rules.implicit_control(limits, heavy), "import-diversity": rules.import_diversity(limits, F.col("language") == "python"), "unused-import": rules.unused_import(language=F.col("language"))}
     rows = rules.run_rules(wide, limits, own)
     referenced = good.select(F.explode("module_declarations").alias("module_path"))
     unreferenced = dead.dead_weight(wide, referenced)
@@ -92,7 +92,7 @@ def scan(spark: SparkSession, root: str, options: Options = Options()) -> Report
             errors.append(f"{failed - len(errors)} more files with errors are not listed")
         names = facts.select(F.col("path").alias("__p"), "rel_path")
         found = findings(facts, limits).join(names, F.col("path") == F.col("__p")).withColumn("path", F.col("rel_path")).drop("__p", "rel_path")
-        found = spark.createDataFrame(found.collect(), found.schema) if n <= 100_000 else found  # a report of a tree; larger corpora stay lazy
+        found = found.persist()  # filled by the score below, while the facts are held
         totals = score.global_score(found, n, tokens).first().asDict()
     finally:
         facts.unpersist()

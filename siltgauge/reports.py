@@ -127,7 +127,8 @@ def as_text(report: Report, per_kind: int = 5) -> str:
     return "\n".join(lines) + "\n"
 
 
-def as_markdown(report: Report, per_kind: int = 20) -> str:
+def as_markdown(report: Report, per_kind: int | None = None) -> str:
+    """All findings by kind, and all errors; with per_kind, that many of a kind and how many more there are."""
     cell = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
     lines = ["# Corpus report", "", "| measure | value |", "|---|---|"]
     lines += [f"| {k} | {v} |" for k, v in ({k: v for k, v in report.head().items() if isinstance(v, int)} | report.score).items()]
@@ -136,15 +137,32 @@ def as_markdown(report: Report, per_kind: int = 20) -> str:
         mine = [r for r in rows if r["kind"] == kind]
         lines += ["", f"## {kind} ({counts[kind]})", "", "| severity | path | finding | next step |", "|---|---|---|---|"]
         lines += [f"| {r['severity']} | {cell(r['path'])} | {cell(r['summary'])} | {cell(r['next_step'])} |" for r in mine]
+        if counts[kind] > len(mine):
+            lines += ["", f"… {counts[kind] - len(mine)} more"]
+    if report.errors:
+        lines += ["", f"## Errors ({len(report.errors)})", ""] + [f"- {cell(e)}" for e in report.errors]
     return "\n".join(lines) + "\n"
 
 
+#: Names of the numbers in the first line of a TSV report.
+TSV_HEAD = {"fric": SCORES[0], "waste": SCORES[1], "ent": SCORES[2], "reas": SCORES[3]}
+
+
 def as_tsv(report: Report) -> str:
-    head = f"# files={report.files_analyzed} lines={report.total_lines} tokens={report.total_estimated_tokens} friction={report.score[SCORES[0]]}"
-    names = "\t".join(("id", "severity", "code", "path", "confidence", "tokens"))
-    ranked = score.ranked(report.findings)
-    rows = [r["line"] for r in ranked.select(F.struct(score.weight().alias("w"), "kind", "path").alias("o"), "id", "severity", "kind", "path", "confidence", "estimated_tokens").orderBy(F.desc("o.w"), "o.kind", "o.path").transform(tsv_lines).collect()]
-    return "\n".join([head, names, *rows]) + "\n"
+    """A line of numbers, a line of errors if there are any, and all findings with summary and next step."""
+    stats = {"ver": VERSION} | {k: report.score[v] for k, v in TSV_HEAD.items()}
+    stats |= {"ratio": f"{report.score['context_waste_ratio']:.1f}", "pct": report.score["estimated_waste_pct"], "files": report.files_analyzed, "skip": report.files_skipped, "tok": report.total_estimated_tokens}
+    flat = lambda x: str(x).replace("\t", " ").replace("\n", " ")
+    lines = [" ".join(f"{k}={v}" for k, v in stats.items())]
+    lines += [f"err={flat('; '.join(report.errors))}"] if report.errors else []
+    codes = {k: v[1] for k, v in S.KINDS.items()}
+    rows = _shown(report, None)
+    if rows:
+        lines.append("\t".join(("id", "sev", "kind", "path", "tok", "summary", "next")))
+    for r in rows:
+        tokens = f"{r['estimated_tokens']}tk" if r["estimated_tokens"] else "-"
+        lines.append("\t".join(map(flat, (r["id"], r["severity"][:1], codes.get(r["kind"], "OTHR"), r["path"], tokens, r["summary"], r["next_step"]))))
+    return "\n".join(lines) + "\n"
 
 
 FORMATS: dict[str, Callable[[Report], str]] = {"json": as_json, "markdown": as_markdown, "text": as_text, "tsv": as_tsv}
