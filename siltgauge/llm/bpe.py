@@ -500,10 +500,12 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False, keep_text: bool = True) -> DataFrame:
+def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False, keep_text: bool = True, warm: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, and token_ids if asked for.
 
-    token_ids holds the ids as little-endian unsigned 32-bit integers.
+    token_ids holds the ids as little-endian unsigned 32-bit integers. With warm, a worker keeps the
+    vocabulary and its tables of finished words, both of bounded size, for its next task; without it
+    a task gives them back, as workers live on in other operators.
 
     Defined cases: a null text counts as empty, an empty text has no tokens and the digests of
     nothing; a very long text is encoded and decoded part by part; repeated rows give repeated
@@ -531,5 +533,4 @@ def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool
         return out | ({"token_ids": [b"".join(e) for e in every]} if with_ids else {})
 
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else "")
-    # a worker lives on in other operators, so a task gives its tables of finished words back
-    return widen(docs, run, extra, lambda: codec(path).forget(), () if keep_text else (text,))
+    return widen(docs, run, extra, None if warm else lambda: _CODECS.pop(path, None), () if keep_text else (text,))

@@ -23,7 +23,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_frame(docs, tokenizer_path(), keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_frame(docs, tokenizer_path(), keep_text=False, warm=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
