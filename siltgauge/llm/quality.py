@@ -211,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, rounds: int =
         view.cut(x[name])
         teach(name)
     named = labels.select(column_or_null(labels, "doc_id", "long").alias("pick"))
-    free = slim.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(named, F.col("doc_id") == F.col("pick"), "left_anti")
-    free = durable(_featured(free).withColumn("k", F.xxhash64("doc_id")))
+    free = _featured(slim.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))  # before the join, as features are small and texts aren't
+    free = durable(free.join(named, F.col("doc_id") == F.col("pick"), "left_anti").withColumn("k", F.xxhash64("doc_id")))
     for _ in range(rounds):
         added = {"text": 0, "meta": 0}
         for r in _surest(free, model, lent, sure):
