@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import KINDS
+from ..tables import durable
 
 CONTEXT_TOKENS = 128_000
 
@@ -56,11 +57,23 @@ def by_kind(findings: DataFrame) -> DataFrame:
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """A total order: severity, kind, path. Ids are numbered within a kind, never over everything."""
-    order = Window.partitionBy("kind").orderBy(weight().desc(), "path", "confidence")
-    nth = F.row_number().over(order)
+    """A total order: severity, kind, path. Ids are numbered within a kind, never over everything.
+
+    Findings are dealt into key ranges, each numbers its own, and a range's first number follows from
+    the counts of the ranges before it: a kind that holds most findings is sorted by many tasks. The
+    ranges are written once, as a second sampling would cut them elsewhere.
+    """
+    keys = (F.col("kind"), weight().desc(), F.col("path"), F.col("confidence"))
+    dealt = durable(findings.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy(F.col("kind").alias("k"), F.col("__range").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("k").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    starts = sizes.select("k", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("__range", "kind").orderBy(*keys[1:]))
+    numbered = dealt.withColumn("nth", inside).join(starts, (F.col("__range") == F.col("r")) & F.col("kind").eqNullSafe(F.col("k")))
+    numbered = numbered.withColumn("nth", F.col("nth") + F.col("start")).drop("__range", "k", "r", "start")
     prefix = F.coalesce(F.try_element_at(S.kind_map(0), F.col("kind")), F.lit("xx"))
-    return findings.withColumn("nth", nth).withColumn("id", F.concat(prefix, F.lit("-"), F.when(nth < 1000, F.lpad(nth.cast("string"), 3, "0")).otherwise(nth.cast("string"))))
+    digits = F.col("nth").cast("string")
+    return numbered.withColumn("id", F.concat(prefix, F.lit("-"), F.when(F.col("nth") < 1000, F.lpad(digits, 3, "0")).otherwise(digits)))
 
 
 def top_per_kind(findings: DataFrame, k: int = 5) -> DataFrame:

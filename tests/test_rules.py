@@ -161,6 +161,18 @@ def test_ranks_and_tops(spark):
     assert [r["path"] for r in score.priorities(f).collect()] == ["z", "a"]
 
 
+def test_ranks_of_a_large_kind_run_on_over_ranges(spark):
+    rows = [(f"{k * 7919 % 3000:05d}", "deep-nesting", ("Low", "High", "Medium")[k % 3]) for k in range(3000)]
+    rows += [("same", "context-bomb", "Low")] * 5 + [("n", None, "Low"), ("m", None, None)]
+    got = score.ranked(findings(spark, *rows)).select("kind", "nth", "severity", "path", "id").collect()
+    big = sorted((r["nth"], r["severity"], r["path"]) for r in got if r["kind"] == "deep-nesting")
+    order = {"High": 0, "Medium": 1, "Low": 2}
+    assert [r[0] for r in big] == list(range(1, 3001)) and [r[1:] for r in big] == sorted((r[1:] for r in big), key=lambda x: (order[x[0]], x[1]))
+    assert sorted(r["id"] for r in got if r["kind"] == "context-bomb") == [f"cb-00{k}" for k in range(1, 6)]
+    assert sorted(r["id"] for r in got if r["kind"] is None) == ["xx-001", "xx-002"] and len(got) == len(rows)
+    assert not score.ranked(findings(spark)).collect()
+
+
 def test_strict_finds_at_least_as_much(spark):
     df = spark.createDataFrame([BASE | {"path": str(k), "line_count": 90 * k, "branch_count": 5 * k, "max_nesting_depth": k, "dangerous_pattern_count": k} for k in range(14)], FILE_FACTS)
     counts = [rules.run_rules(df, limits).count() for limits in (STRICT, NORMAL, RELAXED)]
