@@ -490,14 +490,16 @@ class Codec:
         return machine.feed([i for i in ids if i in self.spelled]) + machine.close()
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
+#: Bounds of a codec's tables and slices where memory is shared with other operators.
+SMALL = (150_000, 100_000, 500_000)
 
 
-def codec(path: str) -> Codec:
-    """One per worker process."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def codec(path: str, bounds: tuple[int, ...] = ()) -> Codec:
+    """One per worker process and bounds: most words, most chunks, characters of a slice."""
+    if (path, bounds) not in _CODECS:
+        _CODECS[path, bounds] = Codec(path, *bounds)
+    return _CODECS[path, bounds]
 
 
 def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False, keep_text: bool = True, warm: bool = False) -> DataFrame:
@@ -505,15 +507,17 @@ def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool
 
     token_ids holds the ids as little-endian unsigned 32-bit integers. With warm, a worker keeps the
     vocabulary and its tables of finished words, both of bounded size, for its next task; without it
-    a task gives them back, as workers live on in other operators.
+    they are smaller and a task gives them back, as workers live on in other operators.
 
     Defined cases: a null text counts as empty, an empty text has no tokens and the digests of
     nothing; a very long text is encoded and decoded part by part; repeated rows give repeated
     results; columns of these names are replaced.
     """
 
+    bounds = () if warm else SMALL
+
     def run(pdf):
-        c = codec(path)
+        c = codec(path, bounds)
         texts = [t if isinstance(t, str) else "" for t in pdf[text]]
         n, digests, plain = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
         every: list[list[bytes]] = [[] for _ in texts]
@@ -533,4 +537,4 @@ def encode_frame(docs: DataFrame, path: str, text: str = "text", with_ids: bool
         return out | ({"token_ids": [b"".join(e) for e in every]} if with_ids else {})
 
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else "")
-    return widen(docs, run, extra, None if warm else lambda: _CODECS.pop(path, None), () if keep_text else (text,))
+    return widen(docs, run, extra, None if warm else lambda: _CODECS.pop((path, bounds), None), () if keep_text else (text,))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,18 +21,32 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
 
 
+@lru_cache(1)
+def _arrays_apart() -> Callable[[], object]:
+    """Has the allocator map arrays of a megabyte or more by themselves, so that freeing one gives it back;
+    returns what gives back the rest that is free."""
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "mallopt") or not hasattr(libc, "malloc_trim"):
+        return lambda: None
+    libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else rises to the largest array freed so far
+    return lambda: libc.malloc_trim(0)
+
+
 def tidy(run: Callable, last: Callable | None = None) -> Callable:
     """run over a partition's batches, then give memory back: workers live on, and what a task
     kept must not add to what the executor's next operators need."""
 
     def whole(batches: Iterator) -> Iterator:
-        yield from run(batches)
+        trim = _arrays_apart()
+        for made in run(batches):
+            yield made
+            del made
+            trim()
         if last is not None:
             last()
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        trim()
+        pa.default_memory_pool().release_unused()
 
     return whole
 
