@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -38,10 +39,13 @@ def tidy(run: Callable, last: Callable | None = None) -> Callable:
 
     def whole(batches: Iterator) -> Iterator:
         trim = _arrays_apart()
+        due = time.monotonic() + 0.5
         for made in run(batches):
             yield made
             del made
-            trim()
+            if time.monotonic() > due:
+                trim()
+                due = time.monotonic() + 0.5
         if last is not None:
             last()
         gc.collect()
