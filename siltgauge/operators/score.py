@@ -25,7 +25,7 @@ def global_score(findings: DataFrame, files: int | Column, tokens: int | Column,
 
     Exact decimal sums make the result independent of the order of rows. No finding gives zeros.
     """
-    files, tokens = S.lit(files), S.lit(tokens)
+    files, tokens = S.lit(files).cast("bigint"), S.lit(tokens).cast("bigint")  # a Python int is a 32-bit literal, which 16,778 files overflow
     bucket = F.try_element_at(S.kind_map(2), F.col("kind"))
     w = (weight(weights) * F.col("confidence")).cast("decimal(18,6)")
     part = lambda name: F.coalesce(F.sum(F.when(bucket == name, w)), F.lit(0)).cast("double")

@@ -153,6 +153,12 @@ def test_scores(spark):
     assert one("Critical") > one("High") > one("Medium") > one("Low") > 0
 
 
+def test_scores_of_many_files(spark):
+    for files in (16_777, 16_778, 5_000_000_000):
+        for n in (files, F.lit(files)):
+            assert score.global_score(findings(spark), n, files * 32_000).first()["estimated_waste_pct"] == 25
+
+
 def test_ranks_and_tops(spark):
     f = findings(spark, *[(f"p{k}", "deep-nesting", "Low") for k in range(7)], ("z", "deep-nesting", "Critical"), ("a", "context-bomb", "High"))
     assert score.ranked(f).where("path = 'z'").first()["id"] == "dn-001"
