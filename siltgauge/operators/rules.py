@@ -128,11 +128,26 @@ def reexport_entropy(L: Limits, least: int = 3, any_of: bool = False) -> Column:
 
 
 def unused_import(least: int = 2, medium: int = 5, compiler_names: tuple[str, ...] = COMPILER_NAMES["typescript"], language: Column | None = None) -> Column:
-    """Imported names that no identifier repeats; duplicates count, so this is no set difference."""
-    known = lambda x: x.isin(*compiler_names) if language is None else (language == "typescript") & x.isin(*compiler_names)
-    unused = F.filter("imported_names", lambda x: ~F.array_contains(F.col("identifiers"), x) & ~known(x))
-    n = F.coalesce(F.size(unused), F.lit(0))
-    return finding("unused-import", n >= least, S.ladder(n, (medium, "Medium"), otherwise="Low"), 0.65, {"unused_count": n, "preview": F.array_join(F.slice(unused, 1, 5), ", ")})
+    """Imported names that no identifier repeats; duplicates count, so this is no set difference.
+
+    Work grows with names and identifiers, not with their product: hashed sets tell which names are
+    used, repeats are counted in one pass over names in order, and the first five unused names hold
+    at most the first five different ones.
+    """
+    none = F.array().cast("array<string>")
+    known = F.array(*map(F.lit, compiler_names)).cast("array<string>")
+    if language is not None:
+        known = F.when(language == "typescript", known).otherwise(none)
+
+    def made(names: Column, used: Column) -> Column:
+        marked = F.concat(F.transform(used, lambda x: F.struct(x.alias("name"), F.lit(0).alias("place"))), F.transform(names, lambda x: F.struct(x.alias("name"), F.lit(1).alias("place"))))
+        state = lambda last, n: F.struct(last.alias("last"), n.alias("n"))
+        step = lambda a, x: F.when(x["place"] == 0, state(x["name"], a["n"])).otherwise(state(a["last"], a["n"] + F.when(x["name"] == a["last"], 0).otherwise(1)))
+        unused = F.coalesce(F.aggregate(F.sort_array(marked), state(F.lit(None).cast("string"), F.lit(0)), step, lambda a: a["n"]), F.lit(0))
+        first = S.let(F.slice(F.array_except(names, used), 1, 5), lambda few: F.slice(F.filter(names, lambda x: F.array_contains(few, x)), 1, 5))
+        return S.let(unused, lambda n: finding("unused-import", n >= least, S.ladder(n, (medium, "Medium"), otherwise="Low"), 0.65, {"unused_count": n, "preview": F.array_join(first, ", ")}))
+
+    return S.let(F.array_compact("imported_names"), lambda names: S.let(F.array_intersect(names, F.concat(F.col("identifiers"), known)), lambda used: made(names, used)))
 
 
 def coupling_hotspot(L: Limits) -> Column:

@@ -31,8 +31,17 @@ def _count(text: str, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(pattern)), F.lit(0)).cast("bigint")
 
 
+def _found(facts: DataFrame, rule: Column, *keep: str) -> DataFrame:
+    """Rows where the rule fires, its finding as f.
+
+    No filter on the rule: that moves below the facts, which are then computed anew for every part
+    of the rule that names them, and inside its lambdas for every item.
+    """
+    return facts.select(*keep, F.explode(F.filter(F.array(rule), lambda f: f.isNotNull())).alias("f"))
+
+
 def _fired(facts: DataFrame, rule: Column, *keep: str) -> DataFrame:
-    return facts.select(*keep, rule.alias("f")).where("f IS NOT NULL").select(*keep, "f.kind", "f.severity", "f.confidence")
+    return _found(facts, rule, *keep).select(*keep, "f.kind", "f.severity", "f.confidence")
 
 
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,10 +164,9 @@ def unused_import(spark, sf_dir):
     """Long words as imported names, words before a full stop as identifiers."""
     low = F.lower(F.coalesce("text", F.lit("")))
     names = F.regexp_extract_all(low, F.lit("[a-z]{9,}"), F.lit(0))
-    facts = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), names.alias("imported_names"), F.regexp_extract_all(low, F.lit(r"([a-z]+)\."), F.lit(1)).alias("identifiers"))
+    facts = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), names.alias("imported_names"), F.regexp_extract_all(low, F.lit(r"(?<![a-z])([a-z]++)\."), F.lit(1)).alias("identifiers"))
     rule = rules.unused_import(least=2, medium=5, compiler_names=("something", "anonymous"))
-    found = facts.select("path", rule.alias("f")).where("f IS NOT NULL")
-    return found.select("path", "f.kind", "f.severity", "f.confidence", F.col("f.evidence")["unused_count"].cast("bigint").alias("unused_count"), F.col("f.evidence")["preview"].alias("preview"))
+    return _found(facts, rule, "path").select("path", "f.kind", "f.severity", "f.confidence", F.col("f.evidence")["unused_count"].cast("bigint").alias("unused_count"), F.col("f.evidence")["preview"].alias("preview"))
 
 
 def dominant_convention(spark, sf_dir):
