@@ -172,7 +172,7 @@ def unused_import(spark, sf_dir):
 def dominant_convention(spark, sf_dir):
     """Words of texts as identifiers: which conventions mix, and which leads."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z_]+"), F.lit(0))
-    found = _read(spark, sf_dir, "documents").select("doc_id", words.alias("identifiers")).select("doc_id", rules.naming_entropy(conventions=2).alias("f")).where("f IS NOT NULL")
+    found = _found(_read(spark, sf_dir, "documents").select("doc_id", words.alias("identifiers")), rules.naming_entropy(conventions=2), "doc_id")
     return found.select("doc_id", "f.severity", F.col("f.evidence")["dominant_convention"].alias("dominant"), F.col("f.evidence")["mixed_count"].cast("bigint").alias("mixed"))
 
 
