@@ -38,13 +38,17 @@ def severity_offset(value: Column, limit, names=("Critical", "High", "Medium"),
 
 
 def classify_identifier(name: Column) -> Column:
-    """snake, screaming, camel, pascal or other; ASCII rules, as case maps differ between engines."""
+    """snake, screaming, camel, pascal or other; ASCII rules, as case maps differ between engines.
+
+    First letters are compared by the order of strings, so that most words meet one pattern.
+    """
+    lower_first, upper_first = (name >= "a") & (name < "{"), (name >= "A") & (name < "[")
     return (
         F.when(F.length(name) < 3, "other")
         .when(name.contains("_") & ~name.rlike("[A-Z]"), "snake")
         .when(name.contains("_") & ~name.rlike("[a-z]"), "screaming")
-        .when(name.rlike("^[a-z]") & name.rlike("[A-Z]"), "camel")
-        .when(name.rlike("^[A-Z]") & name.rlike("[a-z]"), "pascal")
+        .when(lower_first & name.rlike("[A-Z]"), "camel")
+        .when(upper_first & name.rlike("[a-z]"), "pascal")
         .otherwise("other")
     )
 
